@@ -10,6 +10,8 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +26,9 @@ from .common import bounded_batches, checkpointed, pick
 LENGTH = 2048
 OPEN_WINDOWS = 32
 END_ID = 1
-#: Entries that a worker's word cache holds; it starts anew beyond.
+#: Entries of a worker's word cache beyond which it starts anew with the next batch.
 CACHE = 400_000
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -34,26 +37,50 @@ class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a cache by word.
 
     The vocabulary drops white space and no token spans a blank or a line feed, so the parts between them can be
-    encoded one by one and remembered. A text that holds a special token's string is encoded whole.
+    encoded one by one and remembered. Parts that are Latin letters with marks behind them are one pre-token of
+    letters, lower-cased, and one of marks: new ones go many at a time through the vocabulary's own model, without its
+    normaliser. Every other part goes through the whole tokenizer, and so does a text that holds a special token's string.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.cache, self.letters = Tokenizer.from_file(path), {"": b""}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = Tokenizer(self.tokenizer.model)
+        # Only letters come here: they are not normalised again.
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, parts: list[str]) -> None:
+        """Put new parts into the cache."""
+        cache, letters = self.cache, self.letters
+        simple = []
+        for part in parts:
+            if m := _SIMPLE.fullmatch(part):
+                simple.append((part, m[1].lower(), m[2]))
+            else:
+                cache[part] = self.whole(part)
+        for tail in {x[2] for x in simple}.difference(cache):
+            cache[tail] = self.whole(tail)
+        heads = list({x[1] for x in simple}.difference(letters))
+        for at in range(0, len(heads), 1000):
+            some = heads[at : at + 1000]
+            got = self.model.encode(" ".join(some), add_special_tokens=False)
+            data, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
+            cuts = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(data)]
+            letters.update(zip(some, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        cache.update([(part, letters[head] + cache[tail]) for part, head, tail in simple])
+
     def batch(self, texts: list[str]) -> list[bytes]:
         parts = [None if any(s in x for s in self.special) else x.replace("\n", " ").split(" ") for x in texts]
-        new = list(set().union(*(p for p in parts if p)) - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {"": b""}
-            new = list(set().union(*(p for p in parts if p)) - {""})
-        for word, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(got.ids, dtype="<u4").tobytes()
+        if len(self.cache) > CACHE:
+            self.cache, self.letters = {"": b""}, {}
+        if new := set().union(*(p for p in parts if p)).difference(self.cache):
+            self._learn(list(new))
         known = self.cache.__getitem__
         return [self.whole(x) if p is None else b"".join(map(known, p)) for x, p in zip(texts, parts, strict=True)]
 
