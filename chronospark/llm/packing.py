@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +27,9 @@ from .common import bounded_batches, checkpointed, pick
 LENGTH = 2048
 OPEN_WINDOWS = 32
 END_ID = 1
-#: Entries of a worker's word cache beyond which it starts anew with the next batch.
-CACHE = 400_000
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Entries of each of a worker's two caches beyond which it starts anew with the next batch.
+CACHE = 1_000_000
+_SIMPLE = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -36,53 +37,78 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, with a cache by word.
 
-    The vocabulary drops white space and no token spans a blank or a line feed, so the parts between them can be
-    encoded one by one and remembered. Parts that are Latin letters with marks behind them are one pre-token of
-    letters, lower-cased, and one of marks: new ones go many at a time through the vocabulary's own model, without its
-    normaliser. Every other part goes through the whole tokenizer, and so does a text that holds a special token's string.
+    The vocabulary drops white space and no token spans a blank or a line feed, so the parts between them are
+    encoded one by one, each different part of a batch once. Parts that are Latin letters with marks behind them are one
+    pre-token of letters, lower-cased, and one of marks: new letters go many at a time through the vocabulary's own model,
+    without its normaliser. Every other part goes through the whole tokenizer, and so does a text that holds a special
+    token's string.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.cache, self.letters = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer, self.letters, self.others = Tokenizer.from_file(path), {}, {"": b""}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = Tokenizer(self.tokenizer.model)
-        # Only letters come here: they are not normalised again.
+        # Only lower-case letters come here: they are not normalised again.
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        """Put new parts into the cache."""
-        cache, letters = self.cache, self.letters
-        simple = []
-        for part in parts:
-            if m := _SIMPLE.fullmatch(part):
-                simple.append((part, m[1].lower(), m[2]))
-            else:
-                cache[part] = self.whole(part)
-        for tail in {x[2] for x in simple}.difference(cache):
-            cache[tail] = self.whole(tail)
-        heads = list({x[1] for x in simple}.difference(letters))
-        for at in range(0, len(heads), 1000):
-            some = heads[at : at + 1000]
+    def _letters(self, heads: list[str]) -> list[bytes]:
+        found = list(map(self.letters.get, heads))
+        new = [i for i, x in enumerate(found) if x is None]
+        for at in range(0, len(new), 1000):
+            some = [heads[i] for i in new[at : at + 1000]]
             got = self.model.encode(" ".join(some), add_special_tokens=False)
             data, word = np.array(got.ids, dtype="<u4").tobytes(), np.array(got.word_ids)
             cuts = [0, *(4 * (np.flatnonzero(np.diff(word)) + 1)).tolist(), len(data)]
-            letters.update(zip(some, map(data.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-        cache.update([(part, letters[head] + cache[tail]) for part, head, tail in simple])
+            for i, head, x, y in zip(new[at : at + 1000], some, cuts[:-1], cuts[1:], strict=True):
+                found[i] = self.letters[head] = data[x:y]
+        return found
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        parts = [None if any(s in x for s in self.special) else x.replace("\n", " ").split(" ") for x in texts]
-        if len(self.cache) > CACHE:
-            self.cache, self.letters = {"": b""}, {}
-        if new := set().union(*(p for p in parts if p)).difference(self.cache):
-            self._learn(list(new))
-        known = self.cache.__getitem__
-        return [self.whole(x) if p is None else b"".join(map(known, p)) for x, p in zip(texts, parts, strict=True)]
+    def _others(self, parts: list[str]) -> list[bytes]:
+        for part in parts:
+            if part not in self.others:
+                self.others[part] = self.whole(part)
+        return [self.others[part] for part in parts]
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special)) or "$^")
+        lists = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        for cache in (self.letters, self.others):
+            if len(cache) > CACHE:
+                cache.clear()
+        self.others[""] = b""
+        # Each part is a head and a tail: letters and marks, or the part as it is and nothing.
+        split = pc.extract_regex(parts.dictionary, _SIMPLE)
+        plain = pc.is_valid(split)
+        heads = pc.utf8_lower(pc.struct_field(split, 0)).dictionary_encode()
+        tails = pc.if_else(plain, pc.struct_field(split, 1), parts.dictionary).dictionary_encode()
+        strings = lambda x: x.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = [*self._letters(strings(heads)), *self._others(strings(tails)), b""]
+        first = pc.fill_null(heads.indices, len(ids) - 1).to_numpy(zero_copy_only=False)
+        second = tails.indices.to_numpy(zero_copy_only=False) + len(heads.dictionary)
+
+        known = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        which = parts.indices.to_numpy(zero_copy_only=False)
+        codes = np.stack([first[which], second[which]], axis=1).ravel()
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        start = (np.cumsum(sizes) - sizes)[codes] - (ends - counts)
+        flat = known[np.repeat(start, counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        offsets = lists.offsets.to_numpy()
+        bounds = (4 * np.concatenate([[0], ends])[2 * (offsets - offsets[0])]).tolist()
+        out = [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[i] = self.whole(texts[int(i)].as_py())
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -151,8 +177,7 @@ def _tokens(path: str, length: int, windows: int, end_id: int, keep_ids: bool):
                 offset += size
 
         for b in batches:
-            texts = ["" if x is None else x for x in b.column(1).to_pylist()]
-            for doc_id, data in zip(b.column(0).to_pylist(), enc.batch(texts), strict=True):
+            for doc_id, data in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
                 data += end
                 n = len(data) // 4
                 for start in range(0, n, length):

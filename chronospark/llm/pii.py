@@ -21,8 +21,8 @@ from .common import bounded_batches, pick
 from .tagger import CLASSES, Tagger, encode
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that training reads at most, the first by a hash of their id that have a pattern's span; windows it makes at most.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 1500, 3000
+#: Texts that training reads at most (those with what looks like a span, by the smallest hashes), their length, and the windows it makes of them at most.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 4000, 3000
 WINDOW, STRIDE = 96, 48
 #: Batches that training goes through, if that is not under one epoch.
 STEPS, BATCH, HIDDEN = 320, 96, 16
@@ -136,8 +136,10 @@ def training_windows(texts: list[str], most: int = SAMPLE_WINDOWS, seed: int = 1
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_texts: int = SAMPLE_TEXTS, steps: int = STEPS) -> Tagger | None:
     """A network from at most ``sample_texts`` texts (of at most a few windows each); None if no text has a span."""
     rough = r"@[A-Za-z0-9-]+\.|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|[0-9][ -]?[0-9 -]{12,}|\+[0-9]"
-    rows = pick(docs, doc_id=id_col, text=text_col).where(F.length("text") < 20_000).where(F.col("text").rlike(rough))
-    texts = [r["text"] for r in rows.orderBy(F.xxhash64("doc_id", "text"), "text").limit(sample_texts).select("text").collect()]
+    rows = pick(docs, doc_id=id_col, text=text_col).where(F.length("text") < SAMPLE_CHARS).where(F.col("text").rlike(rough)).withColumn("h", F.xxhash64("doc_id", "text"))
+    # The smallest hashes first, then the texts that have them: no task sends more texts than are taken.
+    hashes = rows.select("h").distinct().orderBy("h").limit(sample_texts)
+    texts = [r["text"] for r in rows.join(F.broadcast(hashes), "h").dropDuplicates(["h"]).select("h", "text").orderBy("h").collect()]
     ids, tags = training_windows(texts)
     if not len(ids) or not tags.any():
         return None
