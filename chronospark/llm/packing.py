@@ -28,7 +28,9 @@ LENGTH = 2048
 OPEN_WINDOWS = 32
 END_ID = 1
 #: Entries of each of a worker's two caches beyond which it starts anew with the next batch.
-CACHE = 1_000_000
+CACHE = 300_000
+#: Bytes of texts that are encoded at once.
+PORTION = 2 << 20
 _SIMPLE = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 _encoders: dict[str, "WordEncoder"] = {}
@@ -176,7 +178,8 @@ def _tokens(path: str, length: int, windows: int, end_id: int, keep_ids: bool):
                 out.append((doc_id, start, size, zlib.crc32(data), n, sequence, offset, data if keep_ids or sequence is None else None))
                 offset += size
 
-        for b in batches:
+        portions = (b.slice(at, step) for b in batches for step in [max(1, b.num_rows * PORTION // max(b.nbytes, PORTION))] for at in range(0, b.num_rows, step))
+        for b in portions:
             for doc_id, data in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
                 data += end
                 n = len(data) // 4
