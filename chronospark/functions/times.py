@@ -51,17 +51,18 @@ def local_to_utc(local: Column, zone: Column) -> tuple[Column, Column]:
     return outcome, F.when(outcome == "single", utc)
 
 
-def timeline_key(time: Column) -> list[tuple[str, Column]]:
-    """Columns by which events are ordered: group, then seconds and nanoseconds of instants, or the texts of other times."""
+def timeline_key(time: Column, outcome: Column, utc: Column) -> list[tuple[str, Column]]:
+    """Columns by which events are ordered: group, then seconds and nanoseconds of instants, or the texts of other times.
+
+    ``outcome`` and ``utc`` are those of the local time in its zone.
+    """
     kind = time["type"]
-    local = F.to_timestamp(F.substring(time["value"], 1, 19), "yyyy-MM-dd'T'HH:mm:ss")
     known = (kind == "local_time") & time["timezone"].isNotNull()
-    outcome, utc = local_to_utc(local, time["timezone"])
-    promoted = known & (outcome == "single")
-    instant = (kind == "utc_instant") | F.coalesce(promoted, F.lit(False))
+    promoted = F.coalesce(known & (outcome == "single"), F.lit(False))
+    instant = (kind == "utc_instant") | promoted
     group = F.when(instant, 1).when(known, 2).when(kind == "local_time", 3).when(kind == "range", 4).otherwise(5)
     seconds = F.when(kind == "utc_instant", text_seconds(time["value"])).when(promoted, F.unix_seconds(utc)).when(kind == "range", text_seconds(time["start"]))
     nanos = F.when(instant, text_nanos(time["value"])).when(kind == "range", text_nanos(time["start"]))
-    primary = F.when(group == 2, time["timezone"]).when(group == 3, time["value"])
-    secondary = F.when(group == 2, time["value"]).when(group == 4, time["end"])
+    primary = F.when(known & ~promoted, time["timezone"]).when((kind == "local_time") & ~known, time["value"])
+    secondary = F.when(known & ~promoted, time["value"]).when(kind == "range", time["end"])
     return [("time_group", group), ("sec", seconds), ("nano", nanos), ("primary_text", primary), ("secondary_text", secondary)]

@@ -25,7 +25,14 @@ def with_instants(events: DataFrame, allow_uncertain: bool = False) -> DataFrame
 
 
 def with_key(events: DataFrame) -> DataFrame:
-    return events.withColumns(dict(timeline_key(F.col("time"))))
+    """Events with the columns of their place in the order."""
+    t = F.col("time")
+    local = F.to_timestamp(F.substring(t["value"], 1, 19), "yyyy-MM-dd'T'HH:mm:ss")
+    # Step by step, so that no conversion is written out more than once in the plan.
+    staged = events.withColumn("__local", F.when((t["type"] == "local_time") & t["timezone"].isNotNull(), local))
+    outcome, utc = local_to_utc(F.col("__local"), t["timezone"])
+    staged = staged.withColumn("__outcome", outcome).withColumn("__utc", utc)
+    return staged.withColumns(dict(timeline_key(t, F.col("__outcome"), F.col("__utc")))).drop("__local", "__outcome", "__utc")
 
 
 def ordered(events: DataFrame) -> DataFrame:

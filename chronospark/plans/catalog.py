@@ -85,7 +85,7 @@ PREDICATES: dict[str, tuple[Predicate, str]] = {
     "pred_exists": (Predicate("attributes.note", "exists"), "u % 4 = 0"),
     "pred_starts_with": (Predicate("user", "starts_with", 12), "starts_with(usr, '12')"),
     "pred_ends_with": (Predicate("path.original", "ends_with", "CLICK.EXE"), "ends_with(lower(path), 'click.exe')"),
-    "pred_contains": (Predicate("message", "contains", "<VIEW>", case_sensitive=True), "contains(message, '<VIEW>') OR false"),
+    "pred_contains": (Predicate("message", "contains", "<view>", case_sensitive=True), "contains(message, '<view>')"),
     "pred_absent_field": (Predicate("process.process_guid", "neq", "x"), "true"),
 }
 
@@ -171,7 +171,7 @@ def mixed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("time", mixed).drop("sec", "nano", "d")
 
 
-MIXED = """mx AS (SELECT *, CASE n % 10 WHEN 1 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 1 END AS g, CASE n % 10 WHEN 2 THEN date_trunc('second', ts) + INTERVAL 5 HOUR ELSE ts END AS at FROM ev)"""
+MIXED = """mx AS (SELECT *, CASE n % 10 WHEN 1 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 1 END AS g, CASE n % 10 WHEN 2 THEN date_trunc('second', ts) + INTERVAL 5 HOUR ELSE ts END AS tt FROM ev)"""
 
 
 def timeline_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
     for name, (_, where) in PREDICATES.items():
         out[name] = f"WITH {EV} SELECT id AS event_id FROM ev WHERE {where}"
     out |= SEQUENCE_SQL
-    out["timeline_order"] = f"WITH {EV}, {MIXED} SELECT id AS event_id, g AS time_group, row_number() OVER (ORDER BY g, CASE WHEN g IN (1, 4) THEN at WHEN g = 3 THEN date_trunc('second', ts) END NULLS LAST, id) AS place FROM mx"
+    out["timeline_order"] = f"WITH {EV}, {MIXED} SELECT id AS event_id, g AS time_group, row_number() OVER (ORDER BY g, CASE WHEN g IN (1, 4) THEN tt WHEN g = 3 THEN date_trunc('second', ts) END NULLS LAST, id) AS place FROM mx"
     out["timeline_summary"] = f"WITH {EV}, {MIXED} SELECT g AS time_group, count(*) AS n FROM mx GROUP BY g"
     out["timeline_filter"] = f"WITH {EV} SELECT id AS event_id, host AS hostname, et AS event_type FROM ev WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-06 12:00:00' AND et IN ('view', 'error') AND host IN ('HOST1', 'HOST2', 'HOST3')"
     body = "coalesce(text, '')"
@@ -349,12 +349,12 @@ UNION ALL SELECT 'Sigma match: {r.rule_id}', 'medium', 1, 1, evd FROM ev WHERE {
     for i in range(128, 160):
         controls = f"replace({controls}, chr({i}), '\\u{i:04x}')"
     out["control_escape"] = f"SELECT doc_id, md5({controls}) AS escaped_md5 FROM documents"
-    out["timesketch_rows"] = f"WITH {EV}, {MIXED} SELECT id AS event_id, strftime(at, '%Y-%m-%dT%H:%M:%S') AS datetime, epoch_us(at) AS timestamp FROM mx WHERE g = 1"
+    out["timesketch_rows"] = f"WITH {EV}, {MIXED} SELECT id AS event_id, strftime(tt, '%Y-%m-%dT%H:%M:%S') AS datetime, epoch_us(tt) AS timestamp FROM mx WHERE g = 1"
     out["timesketch_excluded"] = f"WITH {EV}, {MIXED} SELECT CASE g WHEN 3 THEN 'local time without a definite instant' WHEN 4 THEN 'range' ELSE 'unknown time' END AS reason, count(*) AS n FROM mx WHERE g > 1 GROUP BY g"
     out["manifest_counts"] = "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'evidence', count(*) FROM documents UNION ALL SELECT 'issues', count(*) FROM labels"
-    tail = "regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/', '\\', 'g'), '\\\\+', '\\', 'g')"
-    popped = f"regexp_replace(rtrim({tail}, '\\'), '\\\\?[^\\\\]*$', '')"
-    joined = f"'C:\\A\\' || {popped} || CASE WHEN {popped} = '' THEN '' ELSE '\\' END || 'X'"
+    # Whole components of the URL behind its scheme; the last one is popped.
+    parts = "list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> '')"
+    joined = f"'C:\\A\\' || array_to_string(list_append(({parts})[1:-2], 'X'), '\\')"
     out["path_normalize"] = f"SELECT page_id, lower({joined}) AS path_key, 'forward_slash_converted,dot_component_removed,parent_component_resolved,comparison_key_case_folded' AS notes FROM pages"
     out["source_locator"] = "SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^https?:', 'x'), '/+', '/', 'g'), '/') AS locator, CAST(NULL AS VARCHAR) AS absolute FROM pages"
     out["evidence_dedupe_sha"] = f"SELECT sha256({body}) AS sha256, min('docs/' || CAST(doc_id AS VARCHAR) || '.txt') AS source_locator, count(*) AS copies FROM documents GROUP BY 1"
@@ -378,8 +378,8 @@ SELECT user_id, event_id AS first, nx AS second FROM o WHERE p AND k % 2 = 1"""
     out["hierarchy_path"] = r"""SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS id, r_name AS path, true AS complete FROM region UNION ALL
 SELECT 'n' || CAST(n_nationkey AS VARCHAR), r_name || '\' || n_name, true FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL
 SELECT 'c' || CAST(c_custkey AS VARCHAR), r_name || '\' || n_name || '\' || c_name, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
-    out["filetime_convert"] = """WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey * 1234567 + 133000000000000000 + l_linenumber AS k FROM lineitem), f AS (SELECT *, k % 10000000 * 100 AS ns, make_timestamp((k // 10000000 - 11644473600) * 1000000) AS at FROM t)
-SELECT l_orderkey, l_linenumber, strftime(at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ns = 0 THEN '' WHEN ns % 1000000 = 0 THEN '.' || lpad(CAST(ns // 1000000 AS VARCHAR), 3, '0') WHEN ns % 1000 = 0 THEN '.' || lpad(CAST(ns // 1000 AS VARCHAR), 6, '0') ELSE '.' || lpad(CAST(ns AS VARCHAR), 9, '0') END || 'Z' AS instant FROM f"""
+    out["filetime_convert"] = """WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey * 1234567 + 133000000000000000 + l_linenumber AS k FROM lineitem), f AS (SELECT *, k % 10000000 * 100 AS ns, make_timestamp((k // 10000000 - 11644473600) * 1000000) AS tt FROM t)
+SELECT l_orderkey, l_linenumber, strftime(tt, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ns = 0 THEN '' WHEN ns % 1000000 = 0 THEN '.' || lpad(CAST(ns // 1000000 AS VARCHAR), 3, '0') WHEN ns % 1000 = 0 THEN '.' || lpad(CAST(ns // 1000 AS VARCHAR), 6, '0') ELSE '.' || lpad(CAST(ns AS VARCHAR), 9, '0') END || 'Z' AS instant FROM f"""
     names = ", ".join(f"CASE WHEN o_orderkey & {bit} <> 0 THEN '{name}' END" for bit, name in FLAGS.items())
     out["flags_decode"] = f"SELECT o_orderkey, concat_ws('|', {names}) AS names, CAST(o_orderkey AS BIGINT) & {~sum(FLAGS)} AS unknown FROM orders"
     return out
