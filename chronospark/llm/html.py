@@ -128,6 +128,7 @@ class Layout:
 
     def inline(self, text: str, kept: bool) -> None:
         if kept:
+            self._open()
             for i, part in enumerate(text.replace("\r\n", "\n").split("\n")):
                 if i:
                     self.lines.append("".join(self.now).rstrip())
