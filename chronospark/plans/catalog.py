@@ -303,8 +303,13 @@ def queries() -> dict[str, Q]:
         return usn.resolve_paths(r.union(n).union(c))
 
     out["hierarchy_path"] = hierarchy
-    ticks = (F.col("l_orderkey").cast("long") * 1_234_567 + F.lit(133_000_000_000_000_000) + F.col("l_linenumber")).alias("ticks")
-    out["filetime_convert"] = lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", ticks).select("l_orderkey", "l_linenumber", times.utc_text(times.filetime_seconds(F.col("ticks")), times.filetime_nanos(F.col("ticks"))).alias("instant")).distinct()
+
+    def filetimes(s: SparkSession, d: str) -> DataFrame:
+        ticks = (F.col("l_orderkey").cast("long") * 1_234_567 + F.lit(133_000_000_000_000_000) + F.col("l_linenumber")).alias("ticks")
+        rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", ticks).distinct()
+        return rows.select("l_orderkey", "l_linenumber", times.utc_text(times.filetime_seconds(F.col("ticks")), times.filetime_nanos(F.col("ticks"))).alias("instant"))
+
+    out["filetime_convert"] = filetimes
     out["flags_decode"] = lambda s, d: table(s, d, "orders").select("o_orderkey", F.array_join(text.flag_names(F.col("o_orderkey").cast("long"), FLAGS), "|").alias("names"), text.unknown_bits(F.col("o_orderkey").cast("long"), FLAGS).alias("unknown"))
     return out
 
