@@ -2,6 +2,7 @@
 
 import json
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from chronospark import cli, config
 from chronospark.operators import timeline
 from chronospark.plans import catalog, correlation, sigma
 from chronospark.sources import case
-from chronospark.sources.parsers import lnk, parse_contents, parse_one, prefetch, registry, usn
+from chronospark.sources.parsers import amcache, jump_list, lnk, parse_contents, parse_one, prefetch, registry, usn
 from chronospark.sources.parsers.base import filetime_text, windows_path
 from chronospark.streaming import rules as streams
 
@@ -69,6 +70,92 @@ def ran(version=30):
     return bytes(data) + names + struct.pack("<II", 8, 4) + device
 
 
+def log(values=("4688", "C:\\w\\cmd.exe", "bob")):
+    """One chunk with one record: a template that stands inline, with a literal, attributes and three substitutions."""
+    chunk = bytearray(b"ElfChnk\0".ljust(512, b"\0"))
+    at = 512 + 24
+
+    def name(text):
+        nonlocal body
+        here = at + len(body) + 4
+        body += struct.pack("<IIHH", here, 0, 0, len(text)) + text.encode("utf-16-le") + b"\0\0"
+
+    def start(text, attributes=()):
+        nonlocal body
+        body += struct.pack("<BHI", 0x41 if attributes else 1, 0xFFFF, 0)
+        name(text)
+        body += struct.pack("<I", 0) if attributes else b""
+        for k, v in attributes:
+            body += b"\x06"
+            name(k)
+            literal(v)
+        body += b"\x02"
+
+    def literal(text):
+        nonlocal body
+        body += struct.pack("<BBH", 5, 1, len(text)) + text.encode("utf-16-le")
+
+    def leaf(text, value, attributes=()):
+        nonlocal body
+        start(text, attributes)
+        if isinstance(value, int):
+            body += struct.pack("<BHB", 0x0D, value, 1)
+        else:
+            literal(value)
+        body += b"\x04"
+
+    body = bytearray(b"\x0f\x01\x01\x00\x0c\x01")
+    body += struct.pack("<II", 9, at + len(body) + 8)
+    head = len(body)
+    body += b"\0" * 24 + b"\x0f\x01\x01\x00"
+    start("Event")
+    start("System")
+    start("Provider", [("Name", "Microsoft-Windows-Security-Auditing")])
+    body += b"\x04"
+    leaf("EventID", 0)
+    leaf("Channel", "Security")
+    leaf("Computer", "HOST1")
+    body += b"\x04"
+    start("EventData")
+    leaf("Data", 1, [("Name", "NewProcessName")])
+    leaf("Data", 2, [("Name", "SubjectUserName")])
+    leaf("Data", "0x1f", [("Name", "NewProcessId")])
+    body += b"\x04\x04\x00"
+    struct.pack_into("<I", body, head + 20, len(body) - head - 24)
+    raw = [v.encode("utf-16-le") for v in values]
+    body += struct.pack("<I", len(raw)) + b"".join(struct.pack("<HBB", len(v), 1, 0) for v in raw) + b"".join(raw) + b"\0"
+    size = 24 + len(body) + 4
+    chunk += b"**\0\0" + struct.pack("<IQQ", size, 5, TICKS) + body + struct.pack("<I", size)
+    struct.pack_into("<I", chunk, 124, zlib.crc32(bytes(chunk[:120] + chunk[128:512])))
+    return b"ElfFile\0".ljust(4096, b"\0") + bytes(chunk).ljust(65536, b"\0")
+
+
+def jumps():
+    """A compound file with the link stream 1 and a destination list of it and of a missing stream 2."""
+
+    def entry(number, path):
+        return b"\0" * 72 + b"HOST".ljust(16, b"\0") + struct.pack("<III", number, 0, 0) + struct.pack("<Qi", TICKS, -1) + struct.pack("<IIQH", 0, 1, 0, len(path)) + path.encode("utf-16-le") + b"\0" * 4
+
+    streams = {"DestList": struct.pack("<I", 3).ljust(32, b"\0") + entry(1, "C:\\a") + entry(2, "C:\\b"), "1": link()}
+    mini, mini_fat, places = b"", [], {}
+    for n, body in streams.items():
+        places[n] = (len(mini_fat), len(body))
+        k = -(-len(body) // 64)
+        mini_fat += [*range(len(mini_fat) + 1, len(mini_fat) + k), 0xFFFFFFFE]
+        mini += body.ljust(64 * k, b"\0")
+    k = -(-len(mini) // 512)
+    fat = [0xFFFFFFFD, 0xFFFFFFFE, 0xFFFFFFFE, *range(4, 3 + k), 0xFFFFFFFE]
+    row = lambda n, kind, at, size: (n.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HB", 2 * len(n) + 2, kind)).ljust(116, b"\0") + struct.pack("<IQ", at, size)
+    rows = row("Root Entry", 5, 3, len(mini)) + b"".join(row(n, 2, *places[n]) for n in streams)
+    head = bytearray(jump_list.MAGIC.ljust(512, b"\0"))
+    struct.pack_into("<HH", head, 30, 9, 6)
+    struct.pack_into("<I", head, 48, 1)
+    struct.pack_into("<5I", head, 56, 4096, 2, 1, 0xFFFFFFFE, 0)
+    struct.pack_into("<109I", head, 76, 0, *[0xFFFFFFFF] * 108)
+    words = lambda x: struct.pack("<128I", *x, *[0xFFFFFFFF] * (128 - len(x)))
+    return bytes(head) + words(fat) + rows.ljust(512, b"\0") + words(mini_fat) + mini.ljust(512 * k, b"\0")
+
+
 def kinds(rows):
     return [r.get("event_type") or r["issue_code"] for r in rows]
 
@@ -111,6 +198,34 @@ def test_prefetch(version):
     assert row["path"]["original"] == "\\VOL\\CMD.EXE" and json.loads(row["attributes"]["prefetch.run_count"]) == 3 and json.loads(row["attributes"]["prefetch.referenced_files"]) == ["\\A", "\\B"]
 
 
+def test_logs():
+    (row,) = parse_one(log(), "Security.evtx")
+    assert (row["event_type"], row["hostname"], row["user"], row["path"]["comparison_key"], row["process"]["pid"]) == ("process_start", "HOST1", "bob", "c:\\w\\cmd.exe", 31)
+    assert row["attributes"]["evtx.event_id"] == "4688" and json.loads(row["attributes"]["evtx.event_data.NewProcessId"]) == "0x1f"
+    assert kinds(parse_one(log(("9999", "a", "b")), "x")) == ["event_logged"] and kinds(parse_one(log(("x", "a", "b")), "x")) == ["TF-W-PARSER-MISSING-REQUIRED-FIELD"]
+    broken = bytearray(log())
+    broken[4096 + 512] = 0
+    assert kinds(parse_one(bytes(broken), "x")) == []
+    broken = bytearray(log())
+    broken[4096 + 10] ^= 1
+    assert kinds(parse_one(bytes(broken), "x")) == ["TF-W-PARSER-MALFORMED-INPUT", "process_start"]
+
+
+def test_jump_lists():
+    rows = parse_one(jumps(), "d/1b4dd67f29cb1962.automaticDestinations-ms")
+    assert kinds(rows) == ["jump_list_observation", "TF-W-PARSER-MISSING-REQUIRED-FIELD"]
+    assert rows[0]["path"]["original"] == "C:\\a" and rows[0]["time"]["kind"] == "accessed" and json.loads(rows[0]["attributes"]["jump_list.app_id"]) == "1b4dd67f29cb1962"
+    rows = parse_one(b"\0" * 24 + link() + link(times=(0, 0, 0)), "5.customDestinations-ms")
+    assert kinds(rows) == ["jump_list_observation"] * 2
+
+
+def test_inventory_hives():
+    data = hive().replace(b"Child", b"File\0", 1)
+    rows = parse_one(data.replace(struct.pack("<HH", 5, 0) + b"File\0", struct.pack("<HH", 4, 0) + b"File\0"), "x/Amcache.hve")
+    assert kinds(rows).count("amcache_observation") == 1 and kinds(rows).count("registry_observation") == 2
+    assert amcache.family(["Root", "InventoryApplicationFile"]) == "win10_inventory" and amcache.family(["x"]) == "unknown"
+
+
 def test_unpacking():
     # Symbols a, b and a copy of three bytes at distance two: codes 0, 10 and 11 of one, two and two bits.
     table = bytearray(256)
@@ -121,7 +236,7 @@ def test_unpacking():
     assert prefetch.decompress(bytes(table) + struct.pack("<HH", word >> 16, word & 0xFFFF) + b"\0" * 8, 6) == b"ababaa"
 
 
-@pytest.mark.parametrize("make", [link, lambda: journal("a"), hive, ran])
+@pytest.mark.parametrize("make", [link, lambda: journal("a"), hive, ran, log, jumps])
 def test_parsers_survive_any_cut_or_change(make):
     data = make()
     for n in {*range(0, min(len(data), 200), 3), len(data) // 2, len(data) - 1}:
@@ -130,7 +245,7 @@ def test_parsers_survive_any_cut_or_change(make):
         changed[n] ^= 0xFF
         rows = parse_one(bytes(changed), "x")
         assert all("event_id" in r or "issue_code" in r for r in rows)
-    for kind in ("lnk", "usn", "registry", "prefetch"):
+    for kind in ("lnk", "usn", "registry", "prefetch", "evtx", "amcache", "jump_list"):
         for bad in (b"", b"\0" * 500, b"\xff" * 500, data[:90]):
             parse_one(bad, "x", kind)
 
