@@ -86,8 +86,10 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sh
     line = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     begun = per.select("r", F.coalesce(F.sum("s").over(line), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(line), F.lit(0)).alias("c0"))
     placed = inside.join(F.broadcast(begun), "r").select("doc_id", "size", "text_crc32", "h", (F.coalesce("b", F.lit(0)) + F.col("b0")).alias("b"), (F.col("c") + F.col("c0")).alias("c"))
-    # A group goes where its middle lies. Its rows are joined to it; groups of one row need no join.
+    # A group goes where its middle lies. Its rows are joined to it; groups of one row need no join. The checkpoint lets
+    # the join deal out a hash with many rows by itself.
     groups = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("b").alias("gb"), F.sum("size").alias("gs")).where(F.col("n") > 1).where(F.col("gs") <= WHOLE * total / n_shards).select("h", (F.col("gb") + F.col("gs") / 2).alias("middle"))
+    groups = checkpointed(groups)
     own = F.col("b") + F.col("size") / 2
     middle = placed.join(groups, "h", "left").select("doc_id", "size", "text_crc32", "c", F.coalesce("middle", own).alias("m"))
     shard = F.least(F.lit(n_shards - 1), F.floor(F.col("m") * n_shards / F.lit(max(1, total)))).cast("int")
