@@ -24,7 +24,7 @@ GRAM = 64
 #: Bytes of segments that one suffix array holds, groups being kept together.
 ARRAY_BYTES = 1 << 19
 #: Groups with more different segments than this are resolved by hashes of their windows instead, spread over tasks.
-GROUP = 8192
+GROUP = 2048
 #: Longer texts are read in parts that overlap by a window.
 PART = 1 << 22
 _POS = np.uint64((1 << 24) - 1)

@@ -405,7 +405,7 @@ def test_two_stage_sorting():
             assert n == k
 
 
-@pytest.mark.parametrize("group", [8192, 1])
+@pytest.mark.parametrize("group", [2048, 1])
 def test_remove_repeats(spark, texts, monkeypatch, group):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
     docs = [*texts, texts[-6][200:1500], "é" * 700 + texts[-6][300:2000] + "tail", texts[-6][:399], "ab" * 3000]
