@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text, times
 from ..operators import export, findings, scan, timeline, usn
 from ..sources import evidence
+from ..sources.parsers import parse_contents
 from . import correlation, sigma
 from .correlation import Predicate
 
@@ -222,6 +224,32 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("evidence_id", "parser_id", o.alias("outcome"))
 
 
+def link_bytes(n: int) -> bytes:
+    """A shell link of which the key decides which of the three times are set."""
+    base = 133_000_000_000_000_000 + n * 10_000_000
+    times_ = [base + i if n % (i + 2) == 0 else 0 for i in range(3)]
+    return struct.pack("<I", 76) + bytes.fromhex("0114020000000000C000000000000046") + struct.pack("<IIQQQIiIHHII", 0x80, 0x20, *times_, n % 1000, 0, 1, 0, 0, 0, 0) + bytes(4)
+
+
+def journal_bytes(n: int) -> bytes:
+    """A folder's record, a pair of rename records and one of another file."""
+
+    def one(name: str, file: int, parent: int, usn_: int, reason: int) -> bytes:
+        raw = name.encode("utf-16-le")
+        body = struct.pack("<QQqQIIIIHH", file, parent, usn_, 133_000_000_000_000_000 + n * 10_000_000, reason, 0, 0, 0x20, len(raw), 60) + raw
+        size = (8 + len(body) + 7) // 8 * 8
+        return (struct.pack("<IHH", size, 2, 0) + body).ljust(size, bytes(1))
+
+    return one(f"dir{n}", 5, 4, 1, 0x100) + one("old", 7, 5, 10, 0x1000) + one("new", 7, 5, 11, 0x2000) + one("other", 8, 5, 20, 0x80000002)
+
+
+def parsed(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes], name: str, key: str) -> DataFrame:
+    """Events that the parsers make of synthesised contents, one for each row of a table."""
+    build = F.udf(make, "binary")  # stands in for files
+    rows = parse_contents(table(spark, sf_dir, name).select(F.col(key).cast("string").alias("source_locator"), build(F.col(key).cast("long")).alias("content")))
+    return rows.select(F.col("provenance.source_locator").alias("source_locator"), "event_type", F.col("time.kind").alias("time_kind"), F.col("time.value").alias("time_value"), F.col("path.original").alias("path"), F.element_at("attributes", "usn.reason_flags").alias("reason_flags"), F.element_at("attributes", "lnk.timestamp_field").alias("event_ordinal"))
+
+
 FLAGS = {1: "data_overwrite", 2: "data_extend", 4: "data_truncation", 256: "file_create", 512: "file_delete"}
 Q = Callable[[SparkSession, str], DataFrame]
 
@@ -310,6 +338,8 @@ def queries() -> dict[str, Q]:
         return rows.select("l_orderkey", "l_linenumber", times.utc_text(times.filetime_seconds(F.col("ticks")), times.filetime_nanos(F.col("ticks"))).alias("instant"))
 
     out["filetime_convert"] = filetimes
+    out["parse_links"] = lambda s, d: parsed(s, d, link_bytes, "orders", "o_orderkey").select("source_locator", "event_type", "time_kind", "time_value", "event_ordinal")
+    out["parse_journal"] = lambda s, d: parsed(s, d, journal_bytes, "customer", "c_custkey").select("source_locator", "path", "time_value", "reason_flags")
     out["flags_decode"] = lambda s, d: table(s, d, "orders").select("o_orderkey", F.array_join(text.flag_names(F.col("o_orderkey").cast("long"), FLAGS), "|").alias("names"), text.unknown_bits(F.col("o_orderkey").cast("long"), FLAGS).alias("unknown"))
     return out
 
@@ -385,6 +415,10 @@ SELECT 'n' || CAST(n_nationkey AS VARCHAR), r_name || '\' || n_name, true FROM n
 SELECT 'c' || CAST(c_custkey AS VARCHAR), r_name || '\' || n_name || '\' || c_name, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
     out["filetime_convert"] = """WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey * 1234567 + 133000000000000000 + l_linenumber AS k FROM lineitem), f AS (SELECT *, k % 10000000 * 100 AS ns, make_timestamp((k // 10000000 - 11644473600) * 1000000) AS tt FROM t)
 SELECT l_orderkey, l_linenumber, strftime(tt, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ns = 0 THEN '' WHEN ns % 1000000 = 0 THEN '.' || lpad(CAST(ns // 1000000 AS VARCHAR), 3, '0') WHEN ns % 1000 = 0 THEN '.' || lpad(CAST(ns // 1000 AS VARCHAR), 6, '0') ELSE '.' || lpad(CAST(ns AS VARCHAR), 9, '0') END || 'Z' AS instant FROM f"""
+    moment = lambda k: f"strftime(make_timestamp(({k} // 10000000 - 11644473600) * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {k} % 10000000 = 0 THEN '' ELSE '.' || lpad(CAST({k} % 10000000 * 100 AS VARCHAR), 9, '0') END || 'Z'"
+    links = " UNION ALL ".join(f"SELECT CAST(o_orderkey AS VARCHAR) AS source_locator, 'lnk_timestamp' AS event_type, '{kind}' AS time_kind, {moment(f'(133000000000000000 + CAST(o_orderkey AS BIGINT) * 10000000 + {i})')} AS time_value, '\"{field}\"' AS event_ordinal FROM orders WHERE o_orderkey % {i + 2} = 0" for i, (kind, field) in enumerate((("created", "creation"), ("accessed", "access"), ("modified", "write"))))
+    out["parse_links"] = f"{links} UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'lnk_timestamp', 'observed', NULL, '\"none\"' FROM orders WHERE o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0"
+    out["parse_journal"] = f"""SELECT CAST(c_custkey AS VARCHAR) AS source_locator, replace(x.p, '#', CAST(c_custkey AS VARCHAR)) AS path, {moment('(133000000000000000 + CAST(c_custkey AS BIGINT) * 10000000)')} AS time_value, x.f AS reason_flags FROM customer CROSS JOIN (VALUES ('dir#', '["FILE_CREATE"]'), ('dir#\\old', '["RENAME_OLD_NAME"]'), ('dir#\\other', '["DATA_EXTEND","CLOSE"]')) x(p, f)"""
     names = ", ".join(f"CASE WHEN o_orderkey & {bit} <> 0 THEN '{name}' END" for bit, name in FLAGS.items())
     out["flags_decode"] = f"SELECT o_orderkey, concat_ws('|', {names}) AS names, CAST(o_orderkey AS BIGINT) & {~sum(FLAGS)} AS unknown FROM orders"
     return out
