@@ -12,6 +12,7 @@ from ..functions import ids, text, times
 from ..operators import export, findings, scan, timeline, usn
 from ..sources import evidence
 from ..sources.parsers import parse_contents
+from ..ship import ship
 from . import correlation, sigma
 from .correlation import Predicate
 
@@ -245,6 +246,7 @@ def journal_bytes(n: int) -> bytes:
 
 def parsed(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes], name: str, key: str) -> DataFrame:
     """Events that the parsers make of synthesised contents, one for each row of a table."""
+    ship(spark)
     build = F.udf(make, "binary")  # stands in for files
     rows = parse_contents(table(spark, sf_dir, name).select(F.col(key).cast("string").alias("source_locator"), build(F.col(key).cast("long")).alias("content")))
     return rows.select(F.col("provenance.source_locator").alias("source_locator"), "event_type", F.col("time.kind").alias("time_kind"), F.col("time.value").alias("time_value"), F.col("path.original").alias("path"), F.element_at("attributes", "usn.reason_flags").alias("reason_flags"), F.element_at("attributes", "lnk.timestamp_field").alias("event_ordinal"))
