@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Arrow batches that carry texts are held to this size, so that a run of very long texts can't fill a worker.
 BATCH_BYTES = 8 << 20
@@ -18,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes and in rows; smaller settings of the session stay."""
+    """Before a Python stage: the executors get this package, and Arrow batches are kept small in bytes and in rows."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, 2001):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     now = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))

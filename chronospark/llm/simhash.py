@@ -113,6 +113,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     What leaves a meeting place is a spanning forest of its links, not every pair: the rows stay in proportion to
     the fingerprints even within a group of many near copies.
     """
+    bounded_batches(fps.sparkSession)
     blocks = radius + 2
     edges_of = [64 * i // blocks for i in range(blocks + 1)]
 
