@@ -24,12 +24,14 @@ SAMPLE_ROWS = 20_000
 #: Entries of the learned lexicon at most, the most telling first.
 LEXICON = 3_000
 PREFIX = 4
+#: Log odds from which a term is a sure sign.
+SURE = 4.0
 EDGES = ".,;:!?\"'()[]{}*#$%&_~-…«»„“”’`"
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú usted ustedes vosotros tuyo".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
 UPPER = bytes(range(65, 91))
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-FEATURES = ["words", "hits", "density", "strongest", "sum", "prefix_hits", "prefix_density", "prefix_strongest", "near_person", "person_rate", "capitals", "punctuation", "shouts", "obfuscated", "obfuscated_hits", "stretched", "digits", "length"]
+FEATURES = ["words", "hits", "density", "strongest", "sum", "prefix_hits", "prefix_density", "prefix_strongest", "sure_hits", "sure_prefixes", "near_person", "person_rate", "capitals", "punctuation", "shouts", "obfuscated", "obfuscated_hits", "stretched", "digits", "length"]
 
 
 @dataclass
@@ -64,7 +66,7 @@ class Toxicity:
         marks = size - len(data.translate(None, PUNCTUATION))
         stretched = sum(text.count(c * 3) for c in "aeiou!?")
         digits = size - len(data.translate(None, b"0123456789"))
-        return [math.log1p(n), math.log1p(len(hits)), len(hits) / n, max(weights, default=0.0), math.log1p(sum(weights)), math.log1p(len(begins)), len(begins) / n, max(begins, default=0.0), near, len(persons) / n, capitals / size, marks / size, text.count("!") / size, len(odd) / n, math.log1p(masked), stretched / size, digits / size, size / n]
+        return [math.log1p(n), math.log1p(len(hits)), len(hits) / n, max(weights, default=0.0), math.log1p(sum(weights)), math.log1p(len(begins)), len(begins) / n, max(begins, default=0.0), math.log1p(sum(w >= SURE for w in weights)), math.log1p(sum(w >= SURE for w in begins)), near, len(persons) / n, capitals / size, marks / size, text.count("!") / size, len(odd) / n, math.log1p(masked), stretched / size, digits / size, size / n]
 
     def matrix(self, texts: list[str | None]) -> np.ndarray:
         return np.array([self.features(t) for t in texts], dtype=np.float64).reshape(-1, len(FEATURES))
@@ -103,10 +105,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts = first.select("y", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 2 AND length(term) > 1")
         odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
         sure = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-        best = counts.withColumn("w", odds).withColumn("z", sure).where("w > 1.2 AND z > 2.5").orderBy(F.desc("z"), "term").limit(LEXICON).select("term", "w", "z").collect()
+        best = counts.withColumn("w", odds).withColumn("z", sure).where("w > 1.8 AND z > 2.5").orderBy(F.desc("z"), "term").limit(LEXICON).select("term", "w").collect()
         # Beginnings need more evidence than words: many clean words share one.
-        model.prefixes = {r["term"][1:]: round(r["z"], 4) for r in best if r["term"][0] == " "}
-        model.lexicon = {r["term"]: round(r["z"], 4) for r in best if r["term"][0] != " "}
+        model.prefixes = {r["term"][1:]: round(r["w"], 4) for r in best if r["term"][0] == " "}
+        model.lexicon = {r["term"]: round(r["w"], 4) for r in best if r["term"][0] != " "}
 
     bare = Toxicity(model.lexicon, model.prefixes)
 
