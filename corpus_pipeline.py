@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronospark.llm import decontamination, line_dedup, packing, simhash, toxicity
+from chronospark.llm import decontamination, line_dedup, packing, similar, toxicity
 from chronospark.llm.common import shared_folder, table
 from chronospark.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of documents linked by shingles of five words with a similarity of 0.8 or more the one with the smallest id."""
+    return similar.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
