@@ -149,7 +149,11 @@ SEQUENCE_SQL = {
 
 
 def sequence(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    found = correlation.match(event_rows(spark, sf_dir), correlation.compile_rule(source))
+    """All matches, as in the SQL; a cap holds only where the rule's text names one."""
+    rule = correlation.compile_rule(source)
+    if source != CAPPED:
+        rule.max_matches = None
+    found = correlation.match(event_rows(spark, sf_dir), rule)
     return found.select("match_id", F.array_join("ordered_event_ids", ",").alias("ordered_ids"), "score", "confidence_level")
 
 

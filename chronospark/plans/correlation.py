@@ -127,7 +127,7 @@ class Rule:
     adjustments: list[tuple[str, float]]
     allow_uncertain: bool = False
     max_uncertainty_ms: int | None = None
-    max_matches: int = 100_000
+    max_matches: int | None = 100_000
     attack: list[str] = field(default_factory=list)
 
     def score(self) -> float:
@@ -238,10 +238,14 @@ def match(events: DataFrame, rule: Rule) -> DataFrame:
     # The cap orders matches by their start and then by each step. A global order needs one task; it sees at most
     # max_matches + 1 rows, which a top-k takes from each partition first.
     order = [c for k in range(n) for c in (F.asc_nulls_first(f"sec{k}"), F.asc_nulls_first(f"nano{k}"), F.asc(f"id{k}"))]
-    top = found.orderBy(*order).limit(rule.max_matches + 1)
-    ranked = top.withColumn("__r", F.row_number().over(Window.orderBy(*order)))
-    truncated = F.count("*").over(Window.partitionBy()) > rule.max_matches
-    out = ranked.withColumn("truncated", truncated).where(F.col("__r") <= rule.max_matches)
+    # Without a cap (None) nothing is ordered.
+    if rule.max_matches is None:
+        out = found.withColumn("truncated", F.lit(False))
+    else:
+        top = found.orderBy(*order).limit(rule.max_matches + 1)
+        ranked = top.withColumn("__r", F.row_number().over(Window.orderBy(*order)))
+        truncated = F.count("*").over(Window.partitionBy()) > rule.max_matches
+        out = ranked.withColumn("truncated", truncated).where(F.col("__r") <= rule.max_matches)
     return out.select(
         ids.match_id(F.lit(rule.rule_id), F.lit(rule.sha256), ordered).alias("match_id"), F.lit("correlation").alias("match_type"), F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.sha256).alias("rule_sha256"),
         F.array_sort(ordered).alias("event_ids"), F.array_sort(F.array_distinct(F.array(*[F.col(f"ev{k}") for k in range(n)]))).alias("evidence_ids"), ordered.alias("ordered_event_ids"),
