@@ -15,7 +15,7 @@ from .common import bounded_batches, pick
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist select textarea title meta link base source track param noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript iframe audio video canvas datalist desc metadata defs annotation annotation-xml title meta link base source track param noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend main menu nav ol p pre section summary table caption ul li hr tr".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article section".split())
 HEAD_ONLY = frozenset("base link meta title script style template noscript".split())
@@ -104,7 +104,7 @@ def build(source: str) -> tuple[Node, str]:
             content = source[at:end]
             if name == "title" and not title:
                 title = _SPACE.sub(" ", html.unescape(content)).strip()
-            node.children.append(content)
+            node.children.append(html.unescape(content).removeprefix("\n") if name == "textarea" else content)
             at = source.find(">", end) + 1 or len(source)
         elif name not in VOID and not (m[3] or "").rstrip().endswith("/") and len(stack) < DEPTH:
             stack.append(node)
@@ -176,6 +176,16 @@ class Layout:
                 self.inline(child.attrs.get("alt", ""), False)
             elif tag == "input":
                 self.inline(child.attrs.get("value", ""), False)
+            elif tag == "svg":
+                self.labels(child)
+            elif tag in ("option", "optgroup"):
+                self.end_line()
+                self.inline(child.attrs.get("label", ""), False)
+                if tag == "optgroup" or not child.attrs.get("label"):
+                    self.walk(child)
+                self.end_line()
+            elif tag == "textarea":
+                self.walk(child, True)
             elif tag == "table":
                 self.end_line()
                 self.gap = True
@@ -198,6 +208,18 @@ class Layout:
             else:
                 self.walk(child, kept)
 
+    def labels(self, node: Node) -> None:
+        """The text elements of a graphic, apart from each other."""
+        for child in node.children:
+            if isinstance(child, str) or unseen(child):
+                continue
+            if child.tag in ("text", "foreignobject"):
+                self.inline(" ", False)
+                self.walk(child)
+                self.inline(" ", False)
+            else:
+                self.labels(child)
+
     def sub(self, node: Node) -> list[str]:
         inner = Layout()
         inner.walk(node)
@@ -267,7 +289,8 @@ def render(source: str | None) -> tuple[str, str, int]:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, title, text, n_chars, n_lines, n_tables.
 
-    All visible text of the page is in ``text``. Null and empty pages have an empty title and text. Plain text without tags is
+    All visible text of the page is in ``text``, with the labels of graphics, formulas, all options of a selection and the
+    content of text areas and objects. Content under aria-hidden="true" is left out although a browser shows it. Null and empty pages have an empty title and text. Plain text without tags is
     a page of one paragraph. Rows that repeat have equal results; null ids stay; an empty table gives an empty
     table; other columns are ignored.
     """
