@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.times import local_to_utc, text_nanos, text_seconds, timeline_key
 
 ORDER = ["time_group", "sec", "nano", "primary_text", "secondary_text", "event_id"]
@@ -40,6 +41,11 @@ def ordered(events: DataFrame) -> DataFrame:
     return with_key(events).orderBy("time_group", *[F.asc_nulls_last(c) for c in ORDER[1:-1]], "event_id")
 
 
+def numbered(events: DataFrame) -> DataFrame:
+    """Events with their key and their ``place`` in the order, from 1; no task holds more than its own range of the order."""
+    return storage.numbered(with_key(events), ["time_group", *[F.asc_nulls_last(c) for c in ORDER[1:-1]], "event_id"])
+
+
 def filtered(events: DataFrame, start: str | None = None, end: str | None = None, types: list[str] | None = None, hosts: list[str] | None = None) -> DataFrame:
     """Bounds are inclusive and hold for events with a definite instant; a host list drops events without a host."""
     out = with_key(events)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,11 +183,7 @@ MIXED = """mx AS (SELECT *, CASE n % 10 WHEN 1 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN
 
 
 def timeline_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    keyed = timeline.with_key(mixed_times(spark, sf_dir))
-    order = ["time_group", *[F.asc_nulls_last(c) for c in timeline.ORDER[1:-1]], "event_id"]
-    return keyed.select("event_id", "time_group", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    return timeline.numbered(mixed_times(spark, sf_dir)).select("event_id", "time_group", "place")
 
 
 def _documents_as_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +248,13 @@ def journal_bytes(n: int) -> bytes:
 def parsed(spark: SparkSession, sf_dir: str, make: Callable[[int], bytes], name: str, key: str) -> DataFrame:
     """Events that the parsers make of synthesised contents, one for each row of a table."""
     ship(spark)
-    build = F.udf(make, "binary")  # stands in for files
-    rows = parse_contents(table(spark, sf_dir, name).select(F.col(key).cast("string").alias("source_locator"), build(F.col(key).cast("long")).alias("content")))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # stands in for files
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(map(str, keys), pa.string()), pa.array(map(make, keys), pa.binary())], names=["source_locator", "content"])
+
+    rows = parse_contents(table(spark, sf_dir, name).select(F.col(key).cast("long")).mapInArrow(build, "source_locator string, content binary"))
     return rows.select(F.col("provenance.source_locator").alias("source_locator"), "event_type", F.col("time.kind").alias("time_kind"), F.col("time.value").alias("time_value"), F.col("path.original").alias("path"), F.element_at("attributes", "usn.reason_flags").alias("reason_flags"), F.element_at("attributes", "lnk.timestamp_field").alias("event_ordinal"))
 
 
@@ -338,6 +340,18 @@ def queries() -> dict[str, Q]:
 
     out["hierarchy_path"] = hierarchy
 
+    def first_seen(s: SparkSession, d: str) -> DataFrame:
+        """Customers named by the status of their first order below a nation that is named by its first customer's segment."""
+        o = table(s, d, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id"), F.concat(F.lit("n"), (F.col("o_custkey") % 25).cast("string")).alias("parent"), F.concat("o_orderstatus", F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").cast("long").alias("seen"))
+        c = table(s, d, "customer").select(F.concat(F.lit("n"), (F.col("c_custkey") % 25).cast("string")).alias("id"), F.lit(None).cast("string").alias("parent"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").cast("long").alias("seen"))
+        return usn.resolve_paths(o.union(c), order="seen")
+
+    out["first_seen_path"] = first_seen
+    renames = lambda s, d: table(s, d, "events").select("user_id", "event_id", F.lit(1).alias("file"), "event_type", F.when(F.col("event_id") % 5 > 0, F.col("props")).alias("name"), F.floor(F.col("value")).alias("usn"))
+    out["rename_distance"] = lambda s, d: usn.rename_pairs(renames(s, d), ["user_id"], ["event_id"], "view", "click", "file", "event_type", "name", "usn", 20).select("user_id", "first", "second")
+    snap = lambda s, d: _documents_as_evidence(s, d).select("doc_id", "source_locator", "size", "sha256")
+    out["snapshot_verify"] = lambda s, d: evidence.verify_snapshot(snap(s, d), snap(s, d).where("doc_id % 13 <> 0").select("source_locator", (F.col("size") + (F.col("doc_id") % 7 == 0).cast("int")).alias("size"), F.when(F.col("doc_id") % 5 == 0, F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256")).alias("sha256")))
+
     def filetimes(s: SparkSession, d: str) -> DataFrame:
         ticks = (F.col("l_orderkey").cast("long") * 1_234_567 + F.lit(133_000_000_000_000_000) + F.col("l_linenumber")).alias("ticks")
         rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", ticks).distinct()
@@ -412,13 +426,20 @@ CASE WHEN bad THEN 'TF-W-PROBE-MALFORMED' WHEN c > 1 AND NOT (a AND r AND NOT l)
 SELECT e AS evidence_id, 'license_or_token' AS rule_id, concat_ws(',', CASE WHEN lic THEN '$lic' END, CASE WHEN tok THEN '$tok' END) AS matched FROM x WHERE lic OR tok
 UNION ALL SELECT e, 'two_of_three', concat_ws(',', CASE WHEN a THEN '$a' END, CASE WHEN b THEN '$b' END, CASE WHEN c THEN '$c' END) FROM x WHERE CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) >= 2 AND z < 2048"""
     out["yara_size_limit"] = f"SELECT CAST(doc_id AS VARCHAR) AS evidence_id, octet_length(encode({body})) AS size, 'TF-W-LIMIT-YARA-FILE-SIZE' AS code FROM documents WHERE octet_length(encode({body})) > 5000"
-    out["snapshot_byte_limit"] = f"SELECT count(*) AS n, CAST(max(t) AS BIGINT) AS running FROM (SELECT sum(octet_length(encode({body}))) OVER (ORDER BY 'docs/' || CAST(doc_id AS VARCHAR) || '.txt') AS t FROM documents) WHERE t <= 1000000"
+    out["snapshot_byte_limit"] = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY 'docs/' || CAST(doc_id AS VARCHAR) || '.txt') AS i, octet_length(encode({body})) AS z FROM documents),
+f(i, n, t) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT d.i, n + CASE WHEN t + z <= 1000000 THEN 1 ELSE 0 END, t + CASE WHEN t + z <= 1000000 THEN z ELSE 0 END FROM f JOIN d ON d.i = f.i + 1)
+SELECT n, t AS running FROM f ORDER BY i DESC LIMIT 1"""
     out["rename_pairing"] = """WITH s AS (SELECT user_id, event_id, event_type, lead(event_id) OVER w AS nx, event_type = 'view' AND coalesce(lead(event_type) OVER w = 'view', false) AS p, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 i AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, p ORDER BY event_id) AS g FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, p, g ORDER BY event_id) AS k FROM i)
 SELECT user_id, event_id AS first, nx AS second FROM o WHERE p AND k % 2 = 1"""
     out["hierarchy_path"] = r"""SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS id, r_name AS path, true AS complete FROM region UNION ALL
 SELECT 'n' || CAST(n_nationkey AS VARCHAR), r_name || '\' || n_name, true FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL
 SELECT 'c' || CAST(c_custkey AS VARCHAR), r_name || '\' || n_name || '\' || c_name, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+    out["first_seen_path"] = r"""WITH c AS (SELECT o_custkey AS k, arg_min(o_orderstatus || CAST(o_orderkey AS VARCHAR), o_orderkey) AS nm FROM orders GROUP BY 1), n AS (SELECT c_custkey % 25 AS k, arg_min(c_mktsegment, c_custkey) AS nm FROM customer GROUP BY 1)
+SELECT 'n' || CAST(k AS VARCHAR) AS id, nm AS path, true AS complete FROM n UNION ALL SELECT 'c' || CAST(c.k AS VARCHAR), n.nm || '\' || c.nm, true FROM c JOIN n ON c.k % 25 = n.k"""
+    out["rename_distance"] = """SELECT user_id, event_id AS first, nx AS second FROM (SELECT user_id, event_id, event_type, event_id % 5 > 0 AS named, floor(value) AS u, lead(event_id) OVER w AS nx, lead(event_type) OVER w AS t2, lead(floor(value)) OVER w AS u2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+WHERE event_type = 'view' AND t2 = 'click' AND named AND nx % 5 > 0 AND abs(u2 - u) <= 20"""
+    out["snapshot_verify"] = "SELECT l AS source_locator, CASE WHEN i IS NULL THEN 'verified_snapshot' ELSE 'snapshot_failed' END AS status, i AS issue FROM (SELECT 'docs/' || CAST(doc_id AS VARCHAR) || '.txt' AS l, CASE WHEN doc_id % 13 = 0 THEN 'TF-W-SNAPSHOT-MISSING' WHEN doc_id % 7 = 0 THEN 'TF-W-SNAPSHOT-SIZE' WHEN doc_id % 5 = 0 THEN 'TF-W-SNAPSHOT-HASH' END AS i FROM documents)"
     out["filetime_convert"] = """WITH t AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey * 1234567 + 133000000000000000 + l_linenumber AS k FROM lineitem), f AS (SELECT *, k % 10000000 * 100 AS ns, make_timestamp((k // 10000000 - 11644473600) * 1000000) AS tt FROM t)
 SELECT l_orderkey, l_linenumber, strftime(tt, '%Y-%m-%dT%H:%M:%S') || CASE WHEN ns = 0 THEN '' WHEN ns % 1000000 = 0 THEN '.' || lpad(CAST(ns // 1000000 AS VARCHAR), 3, '0') WHEN ns % 1000 = 0 THEN '.' || lpad(CAST(ns // 1000 AS VARCHAR), 6, '0') ELSE '.' || lpad(CAST(ns AS VARCHAR), 9, '0') END || 'Z' AS instant FROM f"""
     moment = lambda k: f"strftime(make_timestamp(({k} // 10000000 - 11644473600) * 1000000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {k} % 10000000 = 0 THEN '' ELSE '.' || lpad(CAST({k} % 10000000 * 100 AS VARCHAR), 9, '0') END || 'Z'"

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..functions import ids
+from ..storage import checkpointed
 
 MAX_DEPTH, MAX_FILES = 64, 100_000
 
@@ -133,11 +138,62 @@ def distinct_by_hash(contents: DataFrame) -> DataFrame:
     return contents.groupBy("sha256").agg(F.min("source_locator").alias("source_locator"), F.count("*").alias("copies"))
 
 
+def _admit(sizes: list[int], total: int, limit: int) -> tuple[list[int], list[bool], int]:
+    """Sums with each size in turn, whether it was taken, and the sum of those taken."""
+    sums, within = [], []
+    for size in sizes:
+        fits = total + size <= limit
+        sums.append(total + size)
+        within.append(fits)
+        total += size if fits else 0
+    return sums, within, total
+
+
 def running_bytes(evidence: DataFrame, limit: int) -> DataFrame:
-    """Evidence with the sum of sizes up to it in locator order, and whether that is within the limit."""
-    total = F.sum("size").over(Window.orderBy("source_locator", "evidence_id").rowsBetween(Window.unboundedPreceding, 0))
-    return evidence.withColumn("running", total).withColumn("within", F.col("running") <= limit)
+    """Evidence with ``running``, the bytes taken up to it and with it in locator order, and ``within``, whether it is taken.
 
+    Evidence that does not fit is passed over and not counted: smaller ones behind it may still fit. Ranges of the order that
+    fit as a whole, or of which nothing fits, need their sums and smallest sizes only; any other is gone through once to learn
+    where the next begins. Pass sizes without contents.
+    """
+    rows = checkpointed(evidence.orderBy("source_locator", "evidence_id"))
+    part = F.spark_partition_id()
+    known = sorted((r["p"], r["s"], r["least"]) for r in rows.groupBy(part.alias("p")).agg(F.sum("size").alias("s"), F.min("size").alias("least")).collect())
+    starts, total = {}, 0
+    for p, s, least in known:
+        starts[p] = total
+        if total + s <= limit:
+            total += s
+        elif total + least <= limit:
+
+            def end(batches: Iterator[pa.RecordBatch], total: int = total) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    total = _admit(b.column(0).to_pylist(), total, limit)[2]
+                    yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["t"])
+
+            found = rows.where(part == p).select(F.col("size").cast("long")).mapInArrow(end, "t long").agg(F.max("t").alias("t")).first()
+            total = found["t"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = starts.get(TaskContext.get().partitionId(), 0)
+        for b in batches:
+            sums, within, total = _admit(b.column(b.schema.get_field_index("size")).to_pylist(), total, limit)
+            yield b.append_column("running", pa.array(sums, pa.int64())).append_column("within", pa.array(within, pa.bool_()))
+
+    schema = StructType([*rows.schema.fields, StructField("running", LongType()), StructField("within", BooleanType())])
+    return rows.mapInArrow(run, schema)
+
+
+def verify_snapshot(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(source_locator, status, issue): evidence as it was hashed (source_locator, size, sha256) held against the copy that was read back.
+
+    Equal size and hash make a verified snapshot. A copy that is missing, a size or a hash that differs is a failed one, with its
+    issue. Copies of nothing are ignored. Everything downstream reads verified snapshots alone.
+    """
+    a = before.select("source_locator", F.col("size").alias("__size"), F.col("sha256").alias("__sha"))
+    b = after.select("source_locator", "size", "sha256", F.lit(True).alias("__there"))
+    issue = F.when(F.col("__there").isNull(), "TF-W-SNAPSHOT-MISSING").when(~F.col("__size").eqNullSafe(F.col("size")), "TF-W-SNAPSHOT-SIZE").when(~F.col("__sha").eqNullSafe(F.col("sha256")), "TF-W-SNAPSHOT-HASH")
+    return a.join(b, "source_locator", "left").select("source_locator", F.when(issue.isNull(), "verified_snapshot").otherwise("snapshot_failed").alias("status"), issue.alias("issue"))
 
 def select_mode(evidence: DataFrame, mode: str, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Verified evidence for a scan, and the wanted ids that name none. Modes: all, suspicious, explicit."""
