@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,73 +24,130 @@ HEAD_ONLY = frozenset("base link meta title script style template noscript".spli
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th", "caption"), "td": ("td", "th"), "th": ("td", "th"), "thead": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "tbody": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "tfoot": ("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "option": ("option",), "optgroup": ("option", "optgroup")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "optgroup": ("select",)}
 ENDS_P = BLOCK - {"html", "body", "tr", "caption"}
-DEPTH = 150
-PAD = 40
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+#: Columns are padded up to PAD characters, and the first COLUMNS of a table are aligned; what is beyond follows after two blanks.
+PAD, COLUMNS = 40, 200
+#: Lists, quotations and tables within each other are laid out up to this level; deeper ones follow in lines of their own.
+LEVELS = 60
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
-@dataclass
+_NONE: dict[str, str] = {}
+
+
+@dataclass(slots=True)
 class Node:
     tag: str
-    attrs: dict = field(default_factory=dict)
+    attrs: dict = field(default_factory=lambda: _NONE)
     children: list = field(default_factory=list)
 
 
+def tags(source: str, at: int = 0) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, is an end tag, name, rest) of each tag and, without a name, of each comment and declaration.
+
+    It goes through the source once. A ``>`` within a quoted value is no end, unless the quotation has none before the last ``>``.
+    After that there are no tags. The caller may send a place from which to go on.
+    """
+    size, last = len(source), source.rfind(">")
+    while 0 <= (start := source.find("<", at)) < size:
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            end = size if end < 0 else end + 3
+            closing, name, rest = False, "", ""
+        elif source[start + 1 : start + 2] in ("!", "?"):
+            if start > last:
+                return
+            end = source.find(">", start) + 1
+            closing, name, rest = False, "", ""
+        else:
+            closing = source[start + 1 : start + 2] == "/"
+            m = _NAME.match(source, start + 1 + closing)
+            if not m:
+                at = start + 1
+                continue
+            if start > last:
+                return
+            end = place = m.end()
+            while True:
+                mark = _MARK.search(source, place)
+                if mark is None:
+                    return
+                if mark[0] == ">":
+                    end = mark.end()
+                    break
+                opens = source[place : mark.start()].rstrip().endswith("=")
+                place = mark.end()
+                if opens and place <= last and 0 <= (other := source.find(mark[0], place, last)):
+                    place = other + 1
+            name, rest = m[0].lower(), source[m.end() : end - 1]
+        at = end
+        sent = yield start, end, closing, name, rest
+        if sent is not None:
+            at = sent
+            yield start, end, closing, name, rest
+
+
 def build(source: str) -> tuple[Node, str]:
-    """The tree of a document and its title. Text nodes are plain strings."""
+    """The tree of a document and its title. Text nodes are plain strings. It may be of any depth."""
     root = Node("html")
     body = Node("body")
     root.children.append(body)
     stack, title, at = [root, body], "", 0
     lower = None
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of each name are
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(html.unescape(raw))
 
-    def close(tags: tuple[str, ...], scopes: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 1, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, scopes)
-            if stack[i].tag in scopes:
-                return
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            places[n.tag].pop()
+        del stack[i:]
+
+    def top(names: tuple[str, ...]) -> int:
+        return max((places[n][-1] for n in names if places[n]), default=0)
 
-    while m := _TAG.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    def close(names: tuple[str, ...], scopes: tuple[str, ...]) -> None:
+        while (i := top(names)) > top(scopes):
+            cut(i)
+
+    found = tags(source)
+    for start, end, closing, name, rest in found:
+        text(source[at:start])
+        at = end
         if not name:
             continue
-        if m[1] or m[4]:  # an end tag
+        if closing:
             if name in ("body", "html", "head"):
                 continue
-            if name in ("p", "br") and not any(n.tag == name for n in stack):
-                stack[-1].children.append(Node(name))
+            if not places[name]:
+                if name in ("p", "br"):
+                    stack[-1].children.append(Node(name))
                 continue
             cells = name not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot")
-            for i in range(len(stack) - 1, 1, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if stack[i].tag == "table" or cells and stack[i].tag in ("td", "th", "caption"):
-                    break
+            if (i := places[name][-1]) >= top(("table", "td", "th", "caption") if cells else ("table",)):
+                cut(i)
             continue
         if name in ("html", "body", "head"):
             continue
-        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3] or m[6] or "")}
-        if name in ENDS_P and any(n.tag == "p" for n in stack):
+        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(rest)} if rest.strip() else _NONE
+        if name in ENDS_P and places["p"]:
             close(("p",), ("table", "td", "th", "caption", "button", "object"))
         if name in ENDS:
             close(ENDS[name], SCOPES.get(name, ("table",)))
         if name in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             stack[-1].children.append(row := Node("tr"))
-            stack.append(row)
+            push(row)
         if name.startswith("h") and name[1:].isdigit() and stack[-1].tag[:1] == "h" and stack[-1].tag[1:].isdigit():
-            stack.pop()
+            cut(len(stack) - 1)
         if name == "a":
             close(("a",), ("table", "td", "th", "p", "div", "li"))
         node = Node(name, attrs)
@@ -99,28 +157,30 @@ def build(source: str) -> tuple[Node, str]:
                 lower = source.lower()
                 if len(lower) != len(source):  # some letters grow when lower-cased
                     lower = "".join(c.lower() if c < "\x80" else c for c in source)
-            end = lower.find(f"</{name}", at)
-            end = len(source) if end < 0 else end
-            content = source[at:end]
+            stop = lower.find(f"</{name}", at)
+            stop = len(source) if stop < 0 else stop
+            content = source[at:stop]
             if name == "title" and not title:
                 title = _SPACE.sub(" ", html.unescape(content)).strip()
             node.children.append(html.unescape(content).removeprefix("\n") if name == "textarea" else content)
-            at = source.find(">", end) + 1 or len(source)
-        elif name not in VOID and not (m[3] or "").rstrip().endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
+            at = source.find(">", stop) + 1 or len(source)
+            found.send(at)
+        elif name not in VOID and not rest.rstrip().endswith("/"):
+            push(node)
     text(source[at:])
     return root, title
 
 
 def unseen(node: Node) -> bool:
     a = node.attrs
-    return node.tag in UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or a.get("aria-hidden", "").lower() == "true" or bool("style" in a and _HIDDEN.search(a["style"])) or node.tag == "dialog" and "open" not in a
+    return node.tag in UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or bool("style" in a and _HIDDEN.search(a["style"])) or node.tag == "dialog" and "open" not in a
 
 
 class Layout:
     """Lines under construction: inline text is collapsed, blocks begin lines, spaced blocks leave one line free."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int = 0) -> None:
+        self.level = level
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = False
@@ -160,77 +220,86 @@ class Layout:
             self.lines += [((first if i == 0 else rest) + x).rstrip() for i, x in enumerate(lines)]
 
     def walk(self, node: Node, kept: bool = False) -> None:
-        number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
-        for child in node.children:
+        """Lay out what a node holds, without recursion but for the levels of lists, quotations and tables."""
+        frames = [(node, iter(node.children), kept, [_start(node)], "")]
+        while frames:
+            parent, children, kept, number, leave = frames[-1]
+            child = next(children, None)
+            if child is None:
+                frames.pop()
+                if leave in ("block", "spaced"):
+                    self.end_line()
+                    self.gap |= leave == "spaced"
+                elif leave == "cell":
+                    self.inline(" ", False)
+                continue
             if isinstance(child, str):
                 self.inline(child, kept)
                 continue
-            tag = child.tag
+            tag, leave = child.tag, ""
             if unseen(child):
                 continue
             if tag == "br":
                 self.end_line(force=True)
-            elif tag == "hr":
+                continue
+            if tag == "hr":
                 self.take(["-" * 20])
-            elif tag == "img":
-                self.inline(child.attrs.get("alt", ""), False)
-            elif tag == "input":
-                self.inline(child.attrs.get("value", ""), False)
-            elif tag == "svg":
-                self.labels(child)
+                continue
+            if tag in ("img", "input"):
+                self.inline(child.attrs.get("alt" if tag == "img" else "value", ""), False)
+                continue
+            if tag == "svg":
+                child = Node("svg", children=list(_labels(child)))
             elif tag in ("option", "optgroup"):
                 self.end_line()
-                self.inline(child.attrs.get("label", ""), False)
-                if tag == "optgroup" or not child.attrs.get("label"):
-                    self.walk(child)
-                self.end_line()
+                label = child.attrs.get("label", "")
+                self.inline(label, False)
+                if label and tag == "optgroup":
+                    self.end_line()
+                if label and tag == "option":
+                    child = Node("option")
+                leave = "block"
             elif tag == "textarea":
-                self.walk(child, True)
-            elif tag == "table":
+                kept = True
+            elif tag == "table" and self.level < LEVELS:
                 self.end_line()
                 self.gap = True
                 self.take(self.table(child))
                 self.gap = True
-            elif tag == "li":
-                mark = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
+                continue
+            elif tag == "li" and self.level < LEVELS:
+                mark = f"{number[0]}. " if parent.tag == "ol" else "- "
+                number[0] += 1
                 self.take(self.sub(child), mark, " " * len(mark))
-            elif tag in ("dd", "blockquote"):
+                continue
+            elif tag in ("dd", "blockquote") and self.level < LEVELS:
                 self.gap |= tag == "blockquote"
                 self.take(self.sub(child), "  ", "  ")
                 self.gap |= tag == "blockquote"
+                continue
             elif tag in BLOCK:
                 self.end_line()
-                self.gap |= tag in SPACED and not (node.tag == "li" and tag in ("ul", "ol"))
-                self.walk(child, kept or tag == "pre")
-                self.end_line()
-                self.gap |= tag in SPACED and not (node.tag == "li" and tag in ("ul", "ol"))
-            else:
-                self.walk(child, kept)
-
-    def labels(self, node: Node) -> None:
-        """The text elements of a graphic, apart from each other."""
-        for child in node.children:
-            if isinstance(child, str) or unseen(child):
-                continue
-            if child.tag in ("text", "foreignobject"):
+                spaced = tag in SPACED and not (parent.tag == "li" and tag in ("ul", "ol"))
+                self.gap |= spaced
+                kept, leave = kept or tag == "pre", "spaced" if spaced else "block"
+            elif tag in ("td", "th", "foreignobject") or tag == "text" and parent.tag == "svg":
                 self.inline(" ", False)
-                self.walk(child)
-                self.inline(" ", False)
-            else:
-                self.labels(child)
+                leave = "cell"
+            frames.append((child, iter(child.children), kept, [_start(child)], leave))
 
     def sub(self, node: Node) -> list[str]:
-        inner = Layout()
+        inner = Layout(self.level + 1)
         inner.walk(node)
         inner.end_line()
         self.tables += inner.tables
         return inner.lines
 
     def table(self, node: Node) -> list[str]:
-        """Rows of cells in columns. A cell's lines stay below each other; columns are as wide as their cells, up to a limit."""
+        """Rows of cells in columns. A cell's lines stay below each other; a cell that spans rows keeps its column in them."""
         self.tables += 1
-        head, rows, stray = [], [], []
+        head, stray = [], []
+        rows: list[dict[int, list[str]]] = []
+        taken: dict[int, int] = {}  # columns that cells above still span, with the first row that is free again
         todo = list(reversed(node.children))
         while todo:
             child = todo.pop()
@@ -242,33 +311,71 @@ class Layout:
             elif child.tag in ("thead", "tbody", "tfoot"):
                 todo += reversed(child.children)
             elif child.tag == "tr":
-                cells = []
+                cells, column = {}, 0
                 for c in child.children:
                     if isinstance(c, str):
-                        if c.strip():
-                            cells.append([_SPACE.sub(" ", c).strip()])
-                    elif not unseen(c):
-                        cells.append(self.sub(c) if c.tag in ("td", "th") else self.sub(Node("td", {}, [c])))
-                        span = c.attrs.get("colspan", "1")
-                        cells += [[] for _ in range(min(20, int(span)) - 1 if re.fullmatch(r"\d{1,4}", span) else 0)]
+                        if not c.strip():
+                            continue
+                        lines, wide, high = [_SPACE.sub(" ", c).strip()], 1, 1
+                    elif unseen(c):
+                        continue
+                    else:
+                        lines = self.sub(c) if c.tag in ("td", "th") else self.sub(Node("td", _NONE, [c]))
+                        wide, high = _span(c, "colspan", 1000), _span(c, "rowspan", 65534)
+                    while taken.get(column, 0) > len(rows):
+                        column += 1
+                    cells[column] = lines
+                    for k in range(column, min(column + wide, COLUMNS)) if high > 1 else ():
+                        taken[k] = len(rows) + high
+                    column += wide
                 rows.append(cells)
             elif child.tag == "caption":
                 head += self.sub(child)
             else:
-                stray += self.sub(Node("div", {}, [child]))
-        widths: list[int] = []
+                stray += self.sub(Node("div", _NONE, [child]))
+        widths: dict[int, int] = {}
         for cells in rows:
-            for i, lines in enumerate(cells):
-                if i == len(widths):
-                    widths.append(0)
-                widths[i] = max(widths[i], min(PAD, max(map(len, lines), default=0)))
+            for i, lines in cells.items():
+                if (width := max(map(len, lines), default=0)) or i in widths:
+                    widths[i] = max(widths.get(i, 0), min(PAD, width))
+        columns = sorted(widths)
+        rank = {c: k for k, c in enumerate(columns)}
         out = [*stray, *head]
         for cells in rows:
-            for k in range(max(map(len, cells), default=0)):
-                out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(cells, widths)).rstrip())
+            own = [(rank[i], lines) for i, lines in cells.items() if lines and i in rank]
+            for k in range(max((len(lines) for _, lines in own), default=0)):
+                line, at = [], 0
+                for place, lines in own:
+                    line += [" " * widths[c] for c in columns[at : min(place, COLUMNS)]]
+                    line.append((lines[k] if k < len(lines) else "").ljust(widths[columns[place]]))
+                    at = place + 1
+                out.append("  ".join(line).rstrip())
         return out
 
 
+def _start(node: Node) -> int:
+    start = node.attrs.get("start", "")
+    return int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    span = node.attrs.get(name, "1")
+    return min(most, max(1, int(span))) if re.fullmatch(r"\d{1,9}", span) else 1
+
+
+def _labels(node: Node) -> Iterator[Node]:
+    """The text elements of a graphic."""
+    todo = list(reversed(node.children))
+    while todo:
+        child = todo.pop()
+        if isinstance(child, str) or unseen(child):
+            continue
+        if child.tag in ("text", "foreignobject"):
+            yield child
+        else:
+            todo += reversed(child.children)
+
+
 def render(source: str | None) -> tuple[str, str, int]:
     """Title, text and number of tables of one page."""
     if not source:
@@ -290,7 +397,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """One row per input row: page_id, title, text, n_chars, n_lines, n_tables.
 
     All visible text of the page is in ``text``, with the labels of graphics, formulas, all options of a selection and the
-    content of text areas and objects. Content under aria-hidden="true" is left out although a browser shows it. Null and empty pages have an empty title and text. Plain text without tags is
+    content of text areas and objects; what is hidden from screen readers alone is shown too. Pages of any length and depth are read
+    once from front to back. Null and empty pages have an empty title and text. Plain text without tags is
     a page of one paragraph. Rows that repeat have equal results; null ids stay; an empty table gives an empty
     table; other columns are ignored.
     """
