@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from . import __version__, config
@@ -26,14 +27,17 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(a)
         return c
 
-    command("analyze", "input", "--output", "--config", "--rules", "--yara-rules", "--correlations")
+    command("analyze", "input", "--output", "--config", "--rules", "--yara-rules", "--correlations").add_argument("--yara-mode", choices=("all", "suspicious", "explicit"))
     t = command("timeline", "case", "--from", "--to")
     t.add_argument("--type", action="append")
     t.add_argument("--host", action="append")
     command("correlate", "case", "--rules", "--output")
     command("sigma", "case", "--rules", "--output")
-    command("yara", "input", "--rules", "--output").add_argument("--mode", default="all", choices=("all", "suspicious", "explicit"))
-    command("export", "case", "--output").add_argument("--format", default="text", choices=("text", "jsonl", "csv", "html", "timesketch"))
+    y = command("yara", "input", "--rules", "--output")
+    y.add_argument("--mode", default="all", choices=("all", "suspicious", "explicit"))
+    y.add_argument("--case", help="suspicious: evidence that this case's matches name")
+    y.add_argument("--evidence", action="append", default=[], help="explicit: an evidence id or a locator")
+    command("export", "case", "--output").add_argument("--format", default="text", choices=("text", "json", "jsonl", "csv", "html", "timesketch"))
     r = command("rules", "rules")
     r.add_argument("--kind", default="sigma", choices=("sigma", "correlation", "yara"))
     command("inspect", "input")
@@ -44,7 +48,9 @@ def parser() -> argparse.ArgumentParser:
 def _case(spark, path: str):
     from .sources import case
 
-    return (case.read_jsonl if path.endswith(".jsonl") else case.read_json)(spark, path)
+    if os.path.isdir(path) and os.path.exists(os.path.join(path, "case.jsonl")):  # what analyze has written
+        path = os.path.join(path, "case.jsonl")
+    return (case.read_jsonl if path.rstrip("/").endswith(".jsonl") else case.read_json)(spark, path)
 
 
 def _emit(df, output: str | None, order: list[str]) -> int:
@@ -77,10 +83,13 @@ def run(args: list[str], spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    from pyspark.sql import functions as F
+
+    from . import analysis
+    from .functions import ids
     from .operators import export, findings, scan, timeline
     from .plans import correlation, sigma
     from .sources import evidence, rules
-    from .sources.parsers import parse_contents
 
     status = "ok"
     if a.command == "inspect":
@@ -88,34 +97,51 @@ def run(args: list[str], spark=None) -> int:
     elif a.command == "yara":
         compiled, bad = rules.compile_all(rules.load(a.rules)[0], "yara")
         status = worse(status, "rules" if bad else "ok")
-        contents = evidence.with_ids(evidence.read_contents(spark, a.input))
-        _emit(scan.scan(contents, compiled), a.output, ["evidence_id", "rule_sha256", "rule_id"])
+        contents = evidence.with_ids(evidence.read_contents(spark, a.input)).withColumn("status", F.lit("verified_snapshot"))
+        wanted = None
+        if a.mode == "suspicious":
+            if not a.case:
+                print("--mode suspicious needs --case", file=sys.stderr)
+                return EXIT["usage"]
+            wanted = _case(spark, a.case)["match"].select(F.explode(F.from_json(F.get_json_object("record", "$.evidence_ids"), "array<string>")).alias("evidence_id")).distinct()
+        elif a.mode == "explicit":
+            given = spark.createDataFrame([(x,) for x in a.evidence], "evidence_id string")
+            by_name = contents.select("source_locator", F.col("evidence_id").alias("found"))
+            wanted = given.join(by_name, given.evidence_id == by_name.source_locator, "left").select(F.coalesce("found", "evidence_id").alias("evidence_id"))
+        chosen, lost = evidence.select_mode(contents, a.mode, wanted)
+        for row in lost.collect() if lost is not None else []:  # ids that the caller gave, or that the case names
+            print(f"no such evidence: {row['evidence_id']}", file=sys.stderr)
+            status = worse(status, "partial")
+        _emit(scan.scan(chosen, compiled), a.output, ["evidence_id", "rule_sha256", "rule_id"])
     elif a.command == "analyze":
         settings = config.load(open(a.config, encoding="utf-8").read() if a.config else "")
-        rows = parse_contents(evidence.read_contents(spark, a.input))
-        events = rows.where("event_id IS NOT NULL").drop("issue_code", "issue_message")
-        matches = None
-        for kind, folder in (("sigma", a.rules), ("correlation", a.correlations)):
-            if not folder or not settings[kind]["enabled"]:
-                continue
-            compiled, bad = rules.compile_all(rules.load(folder)[0], kind)
-            status = worse(status, "rules" if bad else "ok")
-            found = [sigma.match(events, compiled)] if kind == "sigma" else [correlation.match(timeline.with_instants(events, r.allow_uncertain), r) for r in compiled]
-            for f in found:
-                f = f.select("match_id", "match_type", "rule_id", "rule_sha256", "event_ids", "evidence_ids", "reasons", *[c for c in ("score", "score_base") if c in f.columns])
-                matches = f if matches is None else matches.unionByName(f, allowMissingColumns=True)
-        if rows.where("issue_code IS NOT NULL").limit(1).count():
-            status = worse(status, "partial")
+        settings["yara"]["mode"] = a.yara_mode or settings["yara"]["mode"]
+        compiled, limits = {}, settings["limits"]
+        for kind, folder in (("sigma", a.rules), ("correlation", a.correlations), ("yara", a.yara_rules)):
+            if folder and settings[kind]["enabled"]:
+                files, skipped = rules.load(folder)
+                files = [f for f in files if len(f.data) <= limits["max_rule_file_size_bytes"]][: limits["max_rule_files"]]
+                compiled[kind], bad = rules.compile_all(files, kind)
+                status = worse(status, "rules" if bad or skipped else "ok")
+                if bad and settings["strict"]["rules"]:
+                    return EXIT["rules"]
+        made = analysis.analyze(spark, a.input, settings, compiled, f"{a.output}/work" if a.output else None)
+        broken = made.issues.where(~F.col("issue_code").startswith("TF-W-LIMIT-")).limit(1).count() > 0
+        status = worse(status, "input" if broken and settings["strict"]["parser"] else "partial" if broken else "ok")
+        status = worse(status, "limits" if made.limited and settings["strict"]["limits"] else "partial" if made.limited else "ok")
         if a.output:
-            timeline.ordered(events).write.mode("errorifexists").json(f"{a.output}/events")
-            rows.where("issue_code IS NOT NULL").select("issue_code", "issue_message").write.json(f"{a.output}/issues")
-            if matches is not None:
-                matches.write.json(f"{a.output}/matches")
-                findings.ordered(findings.single(matches)).write.json(f"{a.output}/findings")
+            case_id = made.evidence.agg(ids.case_id(F.collect_set("evidence_id")).alias("c")).first()["c"]
+            export.write_case_lines(f"{a.output}/case.jsonl", export.case_parts(case_id, made.evidence, made.events, made.issues, made.matches, made.findings))
+            timeline.ordered(made.events).write.mode("errorifexists").json(f"{a.output}/events")
+            made.issues.write.json(f"{a.output}/issues")
+            if made.matches is not None:
+                made.matches.write.json(f"{a.output}/matches")
+                findings.ordered(made.findings).write.json(f"{a.output}/findings")
         else:
-            _emit(events.select("event_id", "event_type", "time.value", "message"), None, ["value", "event_id"])
+            _emit(made.events.select("event_id", "event_type", "time.value", "message"), None, ["value", "event_id"])
     else:
-        events = _case(spark, a.case)["event"]
+        tables = _case(spark, a.case)
+        events = tables["event"]
         if a.command == "timeline":
             found = timeline.filtered(events, getattr(a, "from"), a.to, a.type, a.host)
             _emit(found.select(*timeline.ORDER, "event_type", "hostname", "message"), None, timeline.ORDER)
@@ -131,10 +157,12 @@ def run(args: list[str], spark=None) -> int:
             rows, excluded = export.timesketch(events)
             rows.orderBy("timestamp", "event_id").drop("event_id").write.mode("errorifexists").json(a.output)
             status = worse(status, "partial" if excluded.limit(1).count() else "ok")
-        elif a.format == "jsonl":
-            timeline.ordered(events).drop(*timeline.ORDER[:-1]).write.mode("errorifexists").json(a.output)
+        elif a.format in ("jsonl", "json"):
+            (export.write_case_lines if a.format == "jsonl" else export.write_case_json)(a.output, export.case_again(tables))
         else:
-            (export.write_html if a.format == "html" else export.write_text)(a.output, **({"title": "Case"} if a.format == "html" else {}), events=events.select("event_id", "event_type", "time.value", "message"))
+            shown = {"events": events.select("event_id", "event_type", "time.value", "message")}
+            shown |= {name: tables[name].orderBy("record") for name in ("evidence", "issue", "match", "finding", "manifest")}
+            (export.write_html if a.format == "html" else export.write_text)(a.output, **({"title": "Case"} if a.format == "html" else {}), **shown)
     return EXIT[status]
 
 

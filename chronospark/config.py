@@ -7,6 +7,7 @@ import zoneinfo
 from copy import deepcopy
 from typing import Any
 
+# Sections, names and defaults of the configuration.
 DEFAULTS: dict[str, dict[str, Any]] = {
     "analysis": {"recursive": True, "follow_symlinks": False, "snapshot_mode": "always", "threads": 0, "timezone": ""},
     "limits": {"max_files": 100_000, "max_recursion_depth": 64, "max_evidence_file_size_bytes": 32 << 30, "max_snapshot_total_bytes": 1 << 40, "max_events": 50_000_000, "max_issues": 100_000, "max_issues_per_evidence": 10_000, "max_findings": 1_000_000, "max_correlation_matches_per_rule": 100_000, "max_correlation_window_seconds": 86_400, "max_yara_scan_file_size_bytes": 1 << 30, "max_rule_files": 100_000, "max_rule_file_size_bytes": 16 << 20, "max_memory_bytes": 2 << 30},

@@ -59,6 +59,64 @@ def case_lines(parts: dict[str, tuple[DataFrame, list[Column]]]) -> DataFrame:
     return out.orderBy("section", "key")
 
 
+def _records(table: DataFrame, columns: list[str], key: list[Column]) -> tuple[DataFrame, list[Column]]:
+    """A part of a case: each row as JSON text, beside its sort key. Attribute values, which are JSON texts, stand as what they are."""
+    shown = [F.transform_values(c, lambda _, v: F.parse_json(v)).alias(c) if c == "attributes" else F.col(c) for c in columns]
+    names = [f"__k{i}" for i in range(len(key))]
+    return table.select(F.to_json(F.struct(*shown)).alias("record"), *[k.cast("string").alias(n) for k, n in zip(key, names, strict=True)]), [F.col(n) for n in names]
+
+
+def case_parts(case_id: str, evidence: DataFrame, events: DataFrame, issues: DataFrame, matches: DataFrame | None = None, findings: DataFrame | None = None) -> dict[str, tuple[DataFrame, list[Column]]]:
+    """The parts of a case in their order; the manifest, which counts the others, comes last."""
+    spark = events.sparkSession
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).when(F.col("severity") == "low", 3).otherwise(4)
+    moment = [F.lpad(F.coalesce(c.cast("string"), F.lit("~")), 20, "0") for c in (F.col("time_group"), F.col("sec"), F.col("nano"))]
+    tables = {"evidence": (evidence, [F.col("source_locator")]), "event": (with_key(events), [*moment, F.coalesce("primary_text", F.lit("~")), F.coalesce("secondary_text", F.lit("~")), F.col("event_id")]), "issue": (issues, [F.col("evidence_id"), F.col("issue_code"), F.col("issue_message")])}
+    if matches is not None:
+        tables["match"] = (matches, [F.col("match_id"), F.array_join("evidence_ids", ",")])
+    if findings is not None:
+        tables["finding"] = (findings, [rank, F.col("finding_id")])
+    parts = {"case": _records(spark.range(1).select(F.lit(case_id).alias("case_id")), ["case_id"], [F.col("case_id")])}
+    parts |= {name: _records(table, events.columns if name == "event" else table.columns, key) for name, (table, key) in tables.items()}
+    counts = manifest_counts(**{name: table for name, (table, _) in tables.items()})
+    record = counts.agg(F.to_json(F.struct(F.lit(True).alias("complete"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("counts"))).alias("record"))
+    parts["manifest"] = (record, [F.lit("")])
+    return parts
+
+
+def case_again(tables: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, list[Column]]]:
+    """The parts of a case that was read, to be written again: the other records as they are, and a new manifest."""
+    events = tables["event"]
+    spare = tables["issue"].sparkSession.createDataFrame([], "issue_code string, issue_message string, evidence_id string")
+    parts = case_parts("", spare.select(F.col("evidence_id").alias("source_locator")), events, spare)
+    own = {n: tables[n].withColumn("__k0", F.coalesce(*[F.get_json_object("record", f"$.{k}") for k in keys])) for n, keys in {"case": ["case_id"], "evidence": ["source_locator"], "issue": ["evidence_id", "issue_code"], "match": ["match_id"], "finding": ["finding_id"]}.items()}
+    parts |= {n: (t.select("record", "__k0"), [F.col("__k0"), F.col("record")]) for n, t in own.items()}
+    counts = manifest_counts(**{n: events if n == "event" else tables[n] for n in ("event", "evidence", "finding", "issue", "match")})
+    record = counts.agg(F.to_json(F.struct(F.lit(True).alias("complete"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "n")))).alias("counts"))).alias("record"))
+    return {n: parts[n] for n in SECTIONS if n in parts and n != "manifest"} | {"manifest": (record, [F.lit("")])}
+
+
+def write_case_lines(path: str, parts: dict[str, tuple[DataFrame, list[Column]]]) -> None:
+    """The case as JSON lines, an envelope a line, in files whose names are in order; the manifest is the last line of the last."""
+    case_lines(parts).select("line").write.mode("errorifexists").text(path)
+
+
+def write_case_json(path: str, parts: dict[str, tuple[DataFrame, list[Column]]]) -> None:
+    """The case as one JSON document, record by record through the driver; the file must be new."""
+    guard_output(path)
+    plural = {"artifact": "artifacts", "event": "events", "issue": "issues", "match": "matches", "finding": "findings"}
+    with open(path, "x", encoding="utf-8") as f:
+        f.write('{"schema_version":"1.0.0"')
+        for name, (table, key) in parts.items():
+            f.write(f',"{plural.get(name, name)}":')
+            alone = name in ("case", "manifest")
+            f.write("" if alone else "[")
+            for n, row in enumerate(table.orderBy(*key).select("record").toLocalIterator()):
+                f.write(("," if n else "") + row["record"])
+            f.write("" if alone else "]")
+        f.write("}\n")
+
+
 def manifest_counts(**tables: DataFrame) -> DataFrame:
     """One row (name, n) for each table."""
     counts = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in sorted(tables.items())]

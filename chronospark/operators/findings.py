@@ -42,16 +42,16 @@ def single(matches: DataFrame) -> DataFrame:
     for name, kind in (("score", "double"), ("score_base", "double"), ("level", "string")):
         m = m if name in m.columns else m.withColumn(name, F.lit(None).cast(kind))
     engine, rule = _engine(F.col("match_type")), F.col("rule_id")
-    reasons = F.when(F.size("reasons") == 0, "(no reason provided)").otherwise(F.array_join("reasons", "; "))
-    on = F.when(F.col("match_type") == "yara_x", " matched on evidence. ").otherwise(" matched. ")
+    reasons = F.when(F.size("reasons") == 0, "no details").otherwise(F.array_join("reasons", "; "))
+    where = F.when(F.col("match_type") == "yara_x", " in file contents: ").otherwise(" in events: ")
     severity = severity_of(F.col("match_type"), F.col("score_base"), F.col("level"))
     confidence = F.coalesce("score", F.lit(DEFAULT_CONFIDENCE))
     listed = lambda name: F.when(F.size(name) > 0, F.concat(F.lit(f"{name}=["), F.array_join(F.array_sort(name), ","), F.lit("]")))
     observed = F.filter(F.concat(F.array(F.concat(F.lit("rule_id="), rule), F.concat(F.lit("rule_sha256="), "rule_sha256"), F.concat(F.lit("match_type="), "match_type"), listed("event_ids"), listed("evidence_ids")), F.transform("reasons", lambda r: F.concat(F.lit("reason: "), r))), lambda x: x.isNotNull())
-    inference = F.concat(engine, F.lit(" rule '"), rule, F.lit("' matched (severity="), severity, F.lit("). Investigate the referenced events/evidence."))
+    inference = F.concat(F.lit("What "), rule, F.lit(" describes may have happened; severity "), severity, F.lit("."))
     return m.select(
         ids.finding_id(F.col("match_type"), F.array("rule_sha256"), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"),
-        F.concat(engine, F.lit(" match: "), rule).alias("title"), F.concat(engine, F.lit(" rule '"), rule, F.lit("'"), on, reasons).alias("description"),
+        F.concat(engine, F.lit(" match: "), rule).alias("title"), F.concat(rule, F.lit(" ("), engine, F.lit(")"), where, reasons).alias("description"),
         severity.alias("severity"), confidence.alias("confidence"), confidence_level(confidence).alias("confidence_level"), F.array_sort("event_ids").alias("event_ids"), F.array_sort("evidence_ids").alias("evidence_ids"), F.array("match_id").alias("match_ids"), F.array("rule_id").alias("rule_refs"), observed.alias("observed_evidence"), F.array(inference).alias("inference"),
     )
 
@@ -86,10 +86,10 @@ def build(matches: DataFrame, rules: list[MergeRule]) -> DataFrame:
     )
     listed = lambda label, c: F.concat(F.lit(f"{label}=["), F.array_join(c, ","), F.lit("]"))
     made = merged.select(
-        ids.finding_id(F.lit("merged"), F.col("shas"), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"), F.col("g_title").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" matches merged")).alias("description"), F.col("g_severity").alias("severity"),
+        ids.finding_id(F.lit("merged"), F.col("shas"), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"), F.col("g_title").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" matches taken as one")).alias("description"), F.col("g_severity").alias("severity"),
         F.lit(DEFAULT_CONFIDENCE).alias("confidence"), confidence_level(F.lit(DEFAULT_CONFIDENCE)).alias("confidence_level"), "event_ids", "evidence_ids", "match_ids", "rule_refs",
         F.concat(F.array(listed("rule_ids", "rule_refs"), listed("rule_sha256_list", "shas"), listed("match_ids", "match_ids"), listed("match_types", "types")), F.col("why")).alias("observed_evidence"),
-        F.array(F.concat(F.col("n").cast("string"), F.lit(" matches merged into a single Finding (severity="), F.col("g_severity"), F.lit("). Correlated events/evidence require combined investigation."))).alias("inference"),
+        F.array(F.concat(F.col("n").cast("string"), F.lit(" matches belong together; severity "), F.col("g_severity"), F.lit("."))).alias("inference"),
     )
     return made.unionByName(alone)
 

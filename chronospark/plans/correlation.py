@@ -231,10 +231,10 @@ def match(events: DataFrame, rule: Rule) -> DataFrame:
     ordered = F.array(*[F.col(f"id{k}") for k in range(n)])
     used = functools.reduce(operator.or_, [~F.col(f"sure{k}") for k in range(n)])
     total = F.lit(rule.score())
-    names = " -> ".join(s.event_type for s in rule.steps)
-    parts = [F.lit(f"Correlation rule '{rule.title}' matched on event_type sequence [{names}]"), F.concat(F.lit(f"Severity={rule.severity} confidence_level="), confidence_level(total)), F.when(used, F.lit("Used uncertain time (allow_uncertain_time=true)"))]
-    summary = [F.concat(F.lit(f"{s.event_type}("), ids.short_id(F.col(f"id{k}")), F.lit(")")) for k, s in enumerate(rule.steps)]
-    parts.append(F.concat(F.lit("Matched events: "), F.concat_ws(", ", *summary)))
+    names = ", then ".join(s.event_type for s in rule.steps)
+    parts = [F.lit(f"{rule.title}: seen in this order: {names}"), F.concat(F.lit(f"severity {rule.severity}, confidence "), confidence_level(total)), F.when(used, F.lit("at least one time is uncertain"))]
+    summary = [F.concat(F.lit(f"{s.event_type} "), ids.short_id(F.col(f"id{k}"))) for k, s in enumerate(rule.steps)]
+    parts.append(F.concat_ws("; ", *summary))
     # The cap orders matches by their start and then by each step. A global order needs one task; it sees at most
     # max_matches + 1 rows, which a top-k takes from each partition first.
     order = [c for k in range(n) for c in (F.asc_nulls_first(f"sec{k}"), F.asc_nulls_first(f"nano{k}"), F.asc(f"id{k}"))]
