@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +48,43 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def _free(spark: SparkSession) -> None:
+    """Shuffle files of steps that nothing refers to any more go once both collectors have run."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    _free(spark)
+    return out
+
+
+class Scratch:
+    """Tables between the steps of one call, compressed and by column in the shared folder. ``drop`` removes those that are done with."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        del df
+        _free(self.spark)
+        return out
+
+    def drop(self, *numbers: int) -> None:
+        """Remove the tables of these numbers, counted from 1 in the order in which they were written."""
+        jvm = self.spark.sparkContext._jvm
+        for n in numbers:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def lower_ascii(col):
@@ -60,3 +95,21 @@ def lower_ascii(col):
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: other columns of the input can't clash."""
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not among ``gone`` (doc_id, th: the text's xxhash64); a null id equals a null id."""
+    i, t = fresh(docs, "gone_id", "gone_th")
+    out = gone.select(F.col("doc_id").alias(i), F.col("th").alias(t))
+    return docs.join(out, docs[id_col].cast("long").eqNullSafe(out[i]) & (F.xxhash64(docs[text_col]) == out[t]), "left_anti")
