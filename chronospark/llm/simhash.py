@@ -3,26 +3,29 @@
 Every distinct fingerprint is compared through a pivot distance table: its Hamming distances to fixed reference
 fingerprints. By the triangle inequality, two fingerprints whose coordinates differ by more than the link radius
 anywhere can't be linked; only pairs that pass every coordinate are verified bit by bit. To find each other without
-all pairs, fingerprints meet in tables keyed by two of ``radius + 2`` bit blocks: at most ``radius`` blocks hold a
-differing bit, so two linked fingerprints agree on at least one pair of blocks. No link is lost.
+all pairs, fingerprints meet in cells of their first coordinates: linked ones lie in the same cells or next to each other, and those
+near an edge stand on both sides of it. More fingerprints take more coordinates. No link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, pick
+from .common import bounded_batches, checkpointed, pick, without_rows
 from .components import connected_components
 
 SHINGLE = 3
 RADIUS = 2
-PIVOTS = 16
+PIVOTS = 24
+#: Width of a cell by radius + 1, and how many random fingerprints a cell holds about.
+CELL, CROWD = 2, 256
 #: A meeting place with more fingerprints than this is split into tiles of two parts of half that size.
 TILE = 16_384
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -54,27 +57,27 @@ def fingerprint(text: str | bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per input row, fp as a signed long."""
+    """(doc_id, th, fp): one row per input row, th the text's xxhash64, fp as a signed long."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(x, shingle) for x in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def pivot_pairs(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of the same group within the radius. The rows must be sorted by group; the result's indices are theirs.
 
-    Inside each group the rows are ordered by their distance to the first pivot. A row is held against its next
+    Inside each group the rows are ordered by their distance to the last pivot, which keys no cell. A row is held against its next
     neighbours only until that coordinate differs by more than the radius.
     """
     table = np.bitwise_count(fps[:, None] ^ pivots()[None, :]).astype(np.int16)
-    order = np.lexsort((table[:, 0], group))
+    order = np.lexsort((table[:, -1], group))
     table, g, f = table[order], group[order], fps[order]
-    first, active, left, right = table[:, 0], np.arange(len(f)), [], []
+    first, active, left, right = np.ascontiguousarray(table[:, -1]), np.arange(len(f)), [], []
     step = 0
     while len(active):
         step += 1
@@ -90,6 +93,28 @@ def pivot_pairs(group: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tup
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
+def cell_pivots(n: int) -> int:
+    """How many pivots' distances key the cells of ``n`` fingerprints, so that random ones leave some CROWD in a cell."""
+    return min(PIVOTS - 4, max(1, round(math.log(max(1, n) / CROWD) / math.log(2.5))))
+
+
+def cells(fps: np.ndarray, n: int, width: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the cells in which fingerprints meet: the distances to ``n`` pivots, each divided by ``width``.
+
+    A row stands in the cell of each distance, and in the next one if the distance is so near its edge that one larger by the
+    radius is beyond. Of two rows within the radius, the one with the smaller distance to a pivot so shares the other's cell, and
+    that holds for all pivots at once only if the choice is made for each of them: a row stands in every combination.
+    """
+    table = np.bitwise_count(fps[:, None] ^ pivots()[None, :n]).astype(np.uint64)
+    own, keys = np.arange(len(fps)), np.zeros(len(fps), np.uint64)
+    for p in range(n):
+        low, high = table[own, p] // np.uint64(width), (table[own, p] + np.uint64(radius)) // np.uint64(width)
+        more = np.flatnonzero(high > low)
+        own, keys, cell = np.concatenate([own, own[more]]), np.concatenate([keys, keys[more]]), np.concatenate([low, high[more]])
+        keys = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + cell + np.uint64(1)
+    return own, keys
+
+
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For each of n rows the smallest row that the pairs connect it with."""
     root = np.arange(n)
@@ -114,27 +139,27 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     the fingerprints even within a group of many near copies.
     """
     bounded_batches(fps.sparkSession)
-    blocks = radius + 2
-    edges_of = [64 * i // blocks for i in range(blocks + 1)]
+    n = cell_pivots(fps.count())
+    width = CELL * (radius + 1)
 
-    def block(i: int):
-        width = edges_of[i + 1] - edges_of[i]
-        return F.shiftrightunsigned(F.col("fp"), edges_of[i]).bitwiseAND(F.lit((1 << width) - 1))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, keys = cells(b.column(0).to_numpy().view(np.uint64), n, width, radius)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(keys.view(np.int64))], names=["fp", "k"])
 
-    keys = [F.struct(F.lit(t).alias("t"), (block(i) * F.lit(1 << (edges_of[j + 1] - edges_of[j])) + block(j)).alias("k")) for t, (i, j) in enumerate(combinations(range(blocks), 2))]
-    placed = fps.select("fp", F.explode(F.array(*keys)).alias("p")).select("fp", "p.t", "p.k")
-    crowds = placed.groupBy("t", "k").count().where(F.col("count") > 1)
+    placed = checkpointed(fps.mapInArrow(place, "fp long, k long"))
+    crowds = placed.groupBy("k").count().where(F.col("count") > 1)
     parts = F.ceil(F.col("count") / F.lit(TILE // 2)).cast("int")
-    met = placed.join(crowds, ["t", "k"]).withColumn("s", F.when(F.col("count") <= TILE, 1).otherwise(parts)).withColumn("a", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
+    met = placed.join(crowds, "k").withColumn("s", F.when(F.col("count") <= TILE, 1).otherwise(parts)).withColumn("a", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
     # A crowd of s parts becomes tiles (i, j), i < j: each row goes to the s - 1 tiles that hold its part.
     others = F.when(F.col("s") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("s") - 1), lambda x: x != F.col("a")))
-    tiled = met.withColumn("b", F.explode(others)).select("t", "k", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fp")
-    tiled = tiled.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j")
+    tiled = met.withColumn("b", F.explode(others)).select("k", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "fp")
+    tiled = tiled.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
     def flush(rows: list[np.ndarray]) -> pa.RecordBatch:
-        t, k, i, j, fp = np.concatenate(rows, axis=1)
-        change = np.ones(len(t), dtype=bool)
-        change[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        k, i, j, fp = np.concatenate(rows, axis=1)
+        change = np.ones(len(k), dtype=bool)
+        change[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         bits = fp.view(np.uint64)
         left, right = pivot_pairs(np.cumsum(change), bits, radius)
         root = forest(len(fp), left, right)
@@ -147,8 +172,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(5)])
-            if n >= TILE and len(cuts := np.flatnonzero((rows[:4] != np.concatenate([held[-1][:4, -1:], rows[:4, :-1]], axis=1)).any(axis=0))):
+            rows = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)])
+            if n >= TILE and len(cuts := np.flatnonzero((rows[:3] != np.concatenate([held[-1][:3, -1:], rows[:3, :-1]], axis=1)).any(axis=0))):
                 yield flush([*held, rows[:, : cuts[0]]])
                 held, n, rows = [], 0, rows[:, cuts[0] :]
             held.append(rows)
@@ -159,27 +184,34 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return tiled.mapInArrow(run, "u long, v long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """(doc_id, th, fp, first): for each row the smallest (z, doc_id, th) of its component, z being 1 for a null id."""
+    prints = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
+    place = F.struct(F.col("doc_id").isNull().cast("int").alias("z"), "doc_id", "th")
+    classes = checkpointed(prints.groupBy("fp").agg(F.min(place).alias("least")))
+    comps = connected_components(links(classes.select("fp"), radius))
+    rooted = classes.join(comps, classes.fp == comps.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return prints.join(rooted.join(named, "root").select("fp", "first"), "fp").select("doc_id", "th", "fp", "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
     Null and empty texts and texts without words have fingerprint zero and are linked like any other. Rows that
     repeat are rows of one component. A null id gets its component's smallest id, or null if all of its ids are
-    null. An empty table gives an empty table; other columns are ignored.
+    null. An empty table gives an empty table; other columns are ignored. Very long texts are counted in portions.
     """
-    prints = checkpointed(with_fingerprints(docs, id_col, text_col, shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comps = connected_components(links(classes.select("fp"), radius))
-    rooted = classes.join(comps, classes.fp == comps.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, id_col, text_col, shingle, radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id: one document of each group stays.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document for each component: that with the smallest id (null last), then text hash.
 
-    Ids are expected to be distinct. A row with a null id is never dropped.
+    A document is an id and a text: rows that repeat both stay or go together. Of rows that share an id or have none each is judged by
+    its text.
     """
-    found = near_duplicates(docs, id_col, text_col, **params)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = _grouped(docs, id_col, text_col, shingle, radius)
+    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select("doc_id", "th").distinct()
+    return without_rows(docs, gone, id_col, text_col)
