@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_ascii, pick
+from .common import checkpointed, lower_ascii, pick, without_rows
 
 WINDOW = 10
 SLOP = 3
@@ -46,6 +46,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     like any other. Items without words or without an id match nothing; items that repeat count once. With an empty
     benchmark nothing is hit; without documents the result is empty. Other columns are ignored.
     """
+    texts, results, nears = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, window, slop)
+    n_words = F.when(F.col("text").isNull(), 0).otherwise(F.size(words(F.col("text")))).cast("long")
+    every = texts.select("doc_id", "th", n_words.alias("n_words"))
+    out = every.join(results, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").join(nears, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
+    ids = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, slop: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts (doc_id, text, th), the results of those that are hit (r_id, r_th, n_hit, items), and their near matches (k_id, k_th, n_near)."""
     texts = pick(docs, doc_id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
     items = checkpointed(pick(benchmark, item_id=item_col, text=item_text_col).where("item_id IS NOT NULL").select(F.col("item_id").cast("string"), F.xxhash64("text").alias("ih"), words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0").distinct())
     vocabulary = items.select(F.explode("w").alias("term")).distinct()
@@ -83,15 +93,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     results = runs.distinct().groupBy("doc_id", "th").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
     results = results.select(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th"), "n_hit", "items")
     nears = met.where("near").groupBy(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).agg(F.countDistinct("item_id").alias("n_near"))
+    return texts, results, nears
 
-    n_words = F.when(F.col("text").isNull(), 0).otherwise(F.size(words(F.col("text")))).cast("long")
-    every = texts.select("doc_id", "th", n_words.alias("n_words"))
-    out = every.join(results, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").join(nears, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
-    ids = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), ids.alias("items"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text has no exact phrase of the benchmark.
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` without an exact phrase of the benchmark. Ids are expected to be distinct; null ids stay."""
-    hit = contamination(docs, benchmark, id_col, **params).where("contaminated").select(F.col("doc_id").alias("__hit"))
-    return docs.join(hit, docs[id_col] == hit["__hit"], "left_anti")
+    Rows are told by id and text: of rows that share an id, or have none, each goes or stays by its text. Null and empty texts stay; an
+    empty benchmark drops nothing; an empty table gives an empty table. Very long texts are compared whole.
+    """
+    _, results, _ = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, window, 0)
+    return without_rows(docs, results.select(F.col("r_id").alias("doc_id"), F.col("r_th").alias("th")), id_col, text_col)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import fresh, pick
 
 LINES = 3
 
@@ -41,15 +41,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the one in the smallest document (by id, null last, then by a hash of the text), at its first position; every
     other occurrence is covered. A text of fewer than three lines is never changed. Null stays null, with no lines.
     Rows that repeat both id and text are one document and get the same result. A text all of whose lines go becomes
-    empty. An empty table gives an empty table.
+    empty. An empty table gives an empty table. A very long text is one row of arrays of its lines, as long as the text. Columns of
+    any name pass through, but for input columns n_lines and n_removed, which are replaced.
     """
+    i, t, g = fresh(docs, "gone_id", "gone_th", "gone_lines")
     plain = pick(docs, doc_id=id_col, text=text_col).withColumn("th", F.xxhash64("text"))
-    gone = covered_lines(plain, lines).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = covered_lines(plain, lines).select(F.col("doc_id").alias(i), F.col("th").alias(t), F.col("gone").alias(g))
     text = docs[text_col]
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(text) == gone["__th"]), "left").drop("__id", "__th")
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[i]) & (F.xxhash64(text) == gone[t]), "left")
     own = F.split(text, "\n", -1)
-    kept = F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "__gone"), lambda i: F.get(own, i)))
+    kept = F.concat_ws("\n", F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), g), lambda i: F.get(own, i)))
     n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1)))
-    cleaned = F.when(F.col("__gone").isNull(), text).otherwise(kept)
-    out = [cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    cleaned = F.when(F.col(g).isNull(), text).otherwise(kept)
+    out = [cleaned.alias(c) if c == text_col else docs[c] for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return joined.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_removed"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, pick
+from .common import bounded_batches, checkpointed, pick, without_rows
 from .components import connected_components
 from .simhash import _BITS, forest, pivot_pairs
 
@@ -74,15 +74,15 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, n, fp, bands): the name and the size of each row's set, its fingerprint and its places."""
+    """(doc_id, th, h, n, fp, bands) of (doc_id, text, th): the name and the size of each row's set, its fingerprint and its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x) for x in b.column(1).cast(pa.binary()).to_pylist()]
             keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), _longs([name_of(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _longs([majority(s) for s in sets]), keys], names=["doc_id", "h", "n", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), _longs([name_of(s) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), _longs([majority(s) for s in sets]), keys], names=["doc_id", "th", "h", "n", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, h long, n long, fp long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, th long, h long, n long, fp long, bands array<long>")
 
 
 def tiled(rows: DataFrame, key: str, weight: Column, limit: int) -> DataFrame:
@@ -170,7 +170,7 @@ def verified(rows: pa.Table) -> np.ndarray:
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(u, v): names of sets whose similarity was verified, enough of them to connect what all such pairs connect."""
     groups = connected_components(candidates(classes))
-    wanted = groups.join(classes.select("h", "n", "fp", "least"), groups.node == F.col("h")).select("root", "h", "n", "fp", "least")
+    wanted = groups.join(classes.select("h", "n", "fp", "least"), groups.node == F.col("h")).select("root", "h", "n", "fp", F.col("least.doc_id").alias("l_id"), F.col("least.th").alias("l_th"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,28 +181,41 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         for rows in whole_groups(batches, 64):
             yield _edges(rows, verified(rows))
 
-    members = docs.join(wanted, docs.doc_id == wanted.least).select("root", "h", "n", "fp", "text")
+    members = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))).select("root", "h", "n", "fp", "text")
     sets = checkpointed(members.mapInArrow(read, "root long, h long, n long, fp long, hashes binary"))
     return tiled(sets, "root", F.col("n"), TILE_SHINGLES).mapInArrow(run, "u long, v long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row with an id: the smallest id that pairs of sufficient similarity connect it with.
-
-    Texts without words are copies of each other. Ids are expected to be distinct; rows with a null id link nothing.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, th, first): for each row the smallest (z, doc_id, th) of its component, z being 1 for a null id."""
     bounded_batches(docs.sparkSession)
-    texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    texts = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").withColumn("th", F.xxhash64("text"))
     rows = checkpointed(sketches(texts))
+    place = F.struct(F.col("doc_id").isNull().cast("int").alias("z"), "doc_id", "th")
     # One row stands for all rows with the same set.
-    classes = rows.groupBy("h").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "fp", "bands"), "doc_id").alias("x")).select("h", "least", "x.*")
-    comps = connected_components(links(texts, checkpointed(classes)))
+    classes = rows.groupBy("h").agg(F.min(place).alias("least"), F.first(F.struct("n", "fp", "bands")).alias("x")).select("h", "least", "x.*")
+    classes = checkpointed(classes)
+    comps = connected_components(links(texts, classes))
     rooted = classes.join(comps, classes.h == comps.node, "left").select("h", "least", F.coalesce("root", "h").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "h").join(rooted.join(named, "root").select("h", "component_id"), "h").select("doc_id", "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    return rows.select("doc_id", "th", "h").join(rooted.join(named, "root").select("h", "first"), "h").select("doc_id", "th", "first")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id), one row per input row: the smallest id that pairs of sufficient similarity connect it with.
+
+    Null and empty texts and texts without words are copies of each other. A null id gets its component's smallest id, or null if
+    all of its ids are null. Rows that repeat are rows of one component. An empty table gives an empty table; other columns are ignored.
+    """
+    return _grouped(docs, id_col, text_col).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a smaller id. A row with a null id is never dropped."""
-    gone = components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, with all their columns, of one document for each component: that with the smallest id (null last), then text hash.
+
+    A document is an id and a text: rows that repeat both stay or go together. Of rows that share an id or have none each is judged by
+    its text. Very long texts are sets of shingles as large as their number of different ones.
+    """
+    found = _grouped(docs, id_col, text_col)
+    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select("doc_id", "th").distinct()
+    return without_rows(docs, gone, id_col, text_col)

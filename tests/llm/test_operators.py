@@ -81,6 +81,30 @@ def test_near_duplicates(spark, texts, monkeypatch):
     assert kept == set(want)
 
 
+@pytest.mark.parametrize("n", [1, 4, 9])
+def test_cells_bring_all_links_together(n):
+    r = np.random.default_rng(n)
+    a = r.integers(0, 2**64, 3000, dtype=np.uint64)
+    flips = [np.uint64(1) << r.integers(0, 64, 3000).astype(np.uint64) for _ in range(2)]
+    b = a ^ flips[0] ^ flips[1]
+    own, keys = simhash.cells(np.concatenate([a, b]), n, 6, 2)
+    places = {}
+    for i, k in zip(own.tolist(), keys.tolist(), strict=True):
+        places.setdefault(i, set()).add(k)
+    assert all(places[i] & places[i + 3000] for i in range(3000))
+    assert len(own) < 6000 * 1.5**n
+    assert simhash.cell_pivots(0) == simhash.cell_pivots(10) == 1 < simhash.cell_pivots(10**6) < simhash.cell_pivots(10**9) <= simhash.PIVOTS - 4
+
+
+def test_drops_tell_rows_by_id_and_text(spark):
+    rows = [(1, "a b c d"), (1, "zz yy xx ww vv"), (0, "a b c d"), (None, "a b c d"), (None, "q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda d: sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    assert kept(simhash.drop_near_duplicates(docs)) == sorted([rows[1], rows[2], rows[4]], key=str)
+    bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    assert kept(decontamination.drop_contaminated(docs, bench)) == sorted([rows[1], rows[4]], key=str)
+
+
 def test_links_of_a_crowd_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 8)
     fps = [i for i in range(64)] + [1 << 40, (1 << 40) + 3]
@@ -204,6 +228,10 @@ def test_line_dedup(spark, texts):
     again = line_dedup.dedup_lines(frame(spark, ["a\nb\nc"] * 2, [1, 1])).collect()
     assert [r["n_removed"] for r in again] == [0, 0]
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+    clash = frame(spark, ["a\nb\nc", "a\nb\nc", None]).withColumnsRenamed({"h": "__gone", "n": "n_lines", "size": "N_REMOVED", "th": "gone_th"})
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "__gone", "gone_th", "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"]) for r in out.collect()) == [(1, 3, 0), (2, 3, 3), (3, 0, 0)]
 
 
 # HTML

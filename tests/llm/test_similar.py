@@ -67,5 +67,5 @@ def test_stage_drops_near_copies(spark, small):
     other = " ".join([*base[:20], "x", *base[21:60], "y", *base[61:100], "z", *base[101:]])  # 101 of 131
     docs = spark.createDataFrame([(1, " ".join(base)), (2, changed), (3, other), (None, " ".join(base)), (None, None)], "doc_id long, text string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, small)
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, None, None]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, None]  # a null id goes like any other copy
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), small).count() == 0
