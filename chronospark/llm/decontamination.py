@@ -18,6 +18,9 @@ WINDOW = 10
 SLOP = 3
 #: Terms of a benchmark up to which its term table (some 60 bytes a term) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Documents with candidates up to which their ids (some 40 bytes each) are broadcast to find their texts; beyond, they are joined by shuffle.
+BROADCAST_DOCS = 200_000
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,7 +50,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     benchmark nothing is hit; without documents the result is empty. Other columns are ignored.
     """
     texts, results, nears = _found(docs, benchmark, id_col, text_col, item_col, item_text_col, window, slop)
-    n_words = F.when(F.col("text").isNull(), 0).otherwise(F.size(words(F.col("text")))).cast("long")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     every = texts.select("doc_id", "th", n_words.alias("n_words"))
     out = every.join(results, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").join(nears, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")), "left")
     ids = F.coalesce("items", F.array().cast("array<string>"))
@@ -80,9 +83,12 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, it
     met = checkpointed(lists.select("doc_id", "th", "item_id", "ih", F.array_distinct(exact).alias("offs"), F.coalesce(near, F.lit(False)).alias("near")).where("near OR size(offs) > 0"))
 
     # The other terms of the phrase, at each offset that the rarest ones agree on.
+    wanted = met.where("size(offs) > 0").select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th")).distinct()
+    few = F.broadcast if wanted.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS else (lambda x: x)
+    held = texts.join(few(wanted), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
     candidates = met.where("size(offs) > 0").join(items.select("item_id", "ih", "w"), ["item_id", "ih"])
     by_doc = candidates.groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "w", "offs")).alias("cands"))
-    found = texts.alias("t").join(by_doc.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")))
+    found = held.alias("t").join(by_doc.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.th") == F.col("c.th")))
     rows = found.select("t.doc_id", "t.th", words(F.col("t.text")).alias("words"), "c.cands").select("doc_id", "th", "words", F.explode("cands").alias("c"))
     rows = rows.select("doc_id", "th", "words", "c.item_id", "c.w", F.explode("c.offs").alias("off"), F.least(F.size("c.w"), F.lit(window)).alias("need"))
     low = F.greatest(F.lit(1), 1 - F.col("off"))
