@@ -23,6 +23,11 @@ def display_time(time: Column) -> Column:
     return F.when(time["type"] == "utc_instant", time["value"]).when(time["type"] == "local_time", local).when(time["type"] == "range", span).otherwise("unknown")
 
 
+def public(table: DataFrame) -> DataFrame:
+    """Without the columns that are the engine's own: sort keys, and names that begin with two low lines."""
+    return table.drop(*[c for c in table.columns if c.startswith("__") or c in ORDER[:-1]])
+
+
 def _cells() -> list[Column]:
     t = F.col("time")
     return [F.col("event_id"), display_time(t), t["kind"], F.col("source"), F.col("event_type"), F.col("assertion"), F.col("hostname"), F.col("user"), F.col("path.original"), F.col("program"), F.col("message")]

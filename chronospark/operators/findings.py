@@ -105,6 +105,8 @@ def lost(matches: DataFrame, findings: DataFrame) -> DataFrame:
 
 # Techniques
 
+#: Rows of a technique dataset (some 200 bytes each) up to which it is broadcast.
+BROADCAST_TECHNIQUES = 50_000
 TECHNIQUE = r"^T[0-9]{4}(\.[0-9]{3})?$"
 
 
@@ -122,6 +124,17 @@ def stix_techniques(bundle: DataFrame) -> DataFrame:
     return named.groupBy("technique_id").agg(F.max_by("name", "n").alias("name"), F.max_by("tactic", "n").alias("tactic"))
 
 
-def map_techniques(wanted: DataFrame, dataset: DataFrame) -> DataFrame:
-    """``wanted``'s technique_id with the dataset's name and tactic, and whether it is known."""
-    return wanted.join(dataset, "technique_id", "left").withColumn("known", F.col("name").isNotNull())
+def map_techniques(wanted: DataFrame, dataset: DataFrame, strict: bool = False) -> DataFrame:
+    """``wanted``'s technique_id with the dataset's name and tactic, and whether it is known.
+
+    With ``strict`` an id that the dataset lacks is an error when its row is read, and so is a dataset without techniques. The dataset
+    is broadcast up to BROADCAST_TECHNIQUES rows, after counting.
+    """
+    n = dataset.limit(BROADCAST_TECHNIQUES + 1).count()
+    if strict and not n:
+        raise ValueError("the dataset has no techniques")
+    own = dataset.withColumn("known", F.lit(True))
+    out = wanted.join(F.broadcast(own) if n <= BROADCAST_TECHNIQUES else own, "technique_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    if strict:
+        out = out.withColumn("known", F.when(F.col("known") | F.col("technique_id").isNull(), F.col("known")).otherwise(F.raise_error(F.concat(F.lit("unknown technique "), F.col("technique_id")))))
+    return out

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import analysis
 from ..functions import ids, text, times
 from ..operators import export, findings, scan, timeline, usn
 from ..sources import evidence
@@ -301,6 +302,23 @@ def queries() -> dict[str, Q]:
         return findings.map_techniques(wanted, data).groupBy("technique_id", "tactic", "known").agg(F.count("*").alias("n"))
 
     out["attack_lookup"] = techniques
+
+    def united(s: SparkSession, d: str) -> DataFrame:
+        """Matches of all three engines, each once, and what becomes of them."""
+        rule = correlation.compile_rule(SEQUENCES["corr_seq2_user"])
+        rule.max_matches = None
+        frames = [single_matches(s, d, "sigma_exact", "sigma_all_of_them"), single_matches(s, d, "sigma_exact"), correlation.match(event_rows(s, d), rule)]
+        scanned = analysis.byte_matches(_documents_as_evidence(s, d).select(F.col("doc_id").cast("string").alias("evidence_id"), "content"), scan.compile_file(SCAN_RULES), 1 << 20)
+        found = findings.single(analysis.unite([*frames, scanned]))
+        return found.groupBy(F.substring_index("title", " ", 1).alias("engine")).agg(F.count("*").alias("n"), F.countDistinct("finding_id").alias("n_findings"))
+
+    out["findings_union"] = united
+    out["case_lines"] = lambda s, d: export.case_lines(export.case_parts("c", *case_tables(s, d))).groupBy("section").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.get_json_object("line", "$.record.attributes.k").cast("long")), F.lit(0)).alias("k"), F.min(F.get_json_object("line", "$.record_type")).alias("record_type"))
+
+    def case_tables(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        files = evidence.with_ids(_documents_as_evidence(s, d)).select("evidence_id", "source_locator", "size", "sha256", F.lit("verified_snapshot").alias("status"))
+        issues = files.where("size < 100").select(F.lit("SHORT").alias("issue_code"), F.col("source_locator").alias("issue_message"), "evidence_id", F.lit(None).cast("string").alias("artifact_id"))
+        return files, event_rows(s, d).drop("sec", "nano"), issues
     out["csv_guard"] = lambda s, d: event_rows(s, d).select("event_id", text.csv_cell(F.col("message")).alias("cell"), text.needs_formula_guard(F.col("message")).alias("guarded"))
     out["csv_rows"] = lambda s, d: export.csv_lines(event_rows(s, d)).select("event_id", "line", F.col("guarded").cast("long").alias("guarded"))
     out["html_escape"] = lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.html_text(F.col("html"))).alias("escaped_md5"), F.md5(text.html_attribute(F.col("html"))).alias("attribute_md5"))
@@ -318,7 +336,13 @@ def queries() -> dict[str, Q]:
     out["source_locator"] = lambda s, d: table(s, d, "pages").select("page_id", text.source_locator(F.regexp_replace("url", "^https?:", "x")).alias("locator"), text.source_locator(F.concat(F.lit("/"), "url")).alias("absolute"))
     out["evidence_dedupe_sha"] = lambda s, d: evidence.distinct_by_hash(_documents_as_evidence(s, d))
     out["probe_resolve"] = lambda s, d: evidence.resolve_probes(probes(s, d)).select("evidence_id", "decision", F.array_join("parsers", ",").alias("parsers"), "issue")
-    out["container_kind"] = lambda s, d: _documents_as_evidence(s, d).select("doc_id", evidence.container_kind(F.concat(F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("504B0304"))).when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("1F8B"))).otherwise(F.unhex(F.lit("00"))), "content")).alias("kind"))
+    def containers(s: SparkSession, d: str) -> DataFrame:
+        head = F.lit(b"")
+        for n, (offset, magic) in enumerate(evidence.CONTAINERS.values(), 1):
+            head = F.when(F.col("doc_id") % 10 == n, F.unhex(F.lit("00" * offset + magic))).otherwise(head)
+        return evidence.with_header(_documents_as_evidence(s, d).withColumn("content", F.concat(head, "content"))).select("doc_id", evidence.container_kind(F.col("header")).alias("kind"), F.octet_length("header").cast("long").alias("n"))
+
+    out["container_kind"] = containers
     out["inspect_files"] = lambda s, d: evidence.inspect(_documents_as_evidence(s, d)).select("source_locator", "size", "sha256", "first_bytes")
 
     def modes(s: SparkSession, d: str, which: int) -> DataFrame:
@@ -392,6 +416,11 @@ UNION ALL SELECT 'Sigma match: {r.rule_id}', 'medium', 1, 1, evd FROM ev WHERE {
     out["finding_lossless"] = "SELECT CAST(0 AS BIGINT) AS n_lost"
     out["attack_lookup"] = f"WITH {EV}, t AS (SELECT CASE right(usr, 1) WHEN '1' THEN 'T1059.001' WHEN '2' THEN 'T1003' ELSE 'T9999' END AS technique_id FROM ev) SELECT technique_id, CASE technique_id WHEN 'T1059.001' THEN 'execution' WHEN 'T1003' THEN 'credential-access' END AS tactic, technique_id <> 'T9999' AS known, count(*) AS n FROM t GROUP BY technique_id"
     cell = lambda c: f"""CASE WHEN regexp_matches(g_{c}, '[,"\r\n]') THEN '"' || replace(g_{c}, '"', '""') || '"' ELSE g_{c} END"""
+    parts = {"Sigma": ("sigma_exact", "sigma_all_of_them"), "Correlation": ("corr_seq2_user",)}
+    counted = [f"SELECT '{engine}' AS engine, {' + '.join(f'(SELECT count(*) FROM ({out[n]}))' for n in names)} AS n" for engine, names in parts.items()]
+    hits = "SELECT 'YARA-X', (SELECT count(*) FROM ({}))"
+    out["case_lines"] = f"""WITH {EV} SELECT 0 AS section, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, 'case' AS record_type UNION ALL SELECT 1, count(*), 0, 'evidence' FROM documents
+UNION ALL SELECT 3, count(*), CAST(sum(k) AS BIGINT), 'event' FROM ev UNION ALL SELECT 4, count(*), 0, 'issue' FROM documents WHERE octet_length(encode({body})) < 100 HAVING count(*) > 0 UNION ALL SELECT 7, 1, 0, 'manifest'"""
     out["csv_guard"] = f"""WITH {EV}, g AS (SELECT id, '''' || message AS g_message FROM ev) SELECT id AS event_id, {cell('message')} AS cell, true AS guarded FROM g"""
     when = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
     out["csv_rows"] = f"""WITH {EV}, g AS (SELECT *, '''' || message AS g_message FROM ev) SELECT id AS event_id, id || ',' || {when} || ',event_logged,evtx,' || et || ',observed,' || coalesce(host, '') || ',' || usr || ',' || path || ',,' || {cell('message')} AS line, CAST(1 AS BIGINT) AS guarded FROM g"""
@@ -418,13 +447,16 @@ s AS (SELECT *, CAST(a AS INT) + CAST(r AS INT) + CAST(l AS INT) AS c FROM p)
 SELECT CAST(n AS VARCHAR) AS evidence_id, CASE WHEN bad THEN 'skip' WHEN c = 1 OR (a AND r AND NOT l) THEN 'run' WHEN c > 1 THEN 'skip' WHEN q THEN 'run_probable' ELSE 'none' END AS decision,
 CASE WHEN bad THEN '' WHEN a AND r AND NOT l THEN 'amcache,registry' WHEN c = 1 THEN CASE WHEN a THEN 'amcache' WHEN r THEN 'registry' ELSE 'lnk' END WHEN c = 0 AND q THEN 'amcache,lnk,registry' ELSE '' END AS parsers,
 CASE WHEN bad THEN 'TF-W-PROBE-MALFORMED' WHEN c > 1 AND NOT (a AND r AND NOT l) THEN 'TF-W-PROBE-AMBIGUOUS' WHEN c = 0 AND q THEN 'TF-W-PROBE-PROBABLE-ONLY' END AS issue FROM s"""
-    out["container_kind"] = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'zip' WHEN doc_id % 5 = 0 THEN 'gzip' END AS kind FROM documents"
+    kinds = " ".join(f"WHEN {k + 1} THEN '{name}'" for k, name in enumerate(evidence.CONTAINERS))
+    longer = " ".join(f"WHEN {k + 1} THEN {offset + len(magic) // 2}" for k, (offset, magic) in enumerate(evidence.CONTAINERS.values()))
+    out["container_kind"] = f"SELECT doc_id, CASE doc_id % 10 {kinds} END AS kind, least(512, octet_length(encode({body})) + CASE doc_id % 10 {longer} ELSE 0 END) AS n FROM documents"
     out["inspect_files"] = f"SELECT 'docs/' || CAST(doc_id AS VARCHAR) || '.txt' AS source_locator, octet_length(encode({body})) AS size, sha256({body}) AS sha256, lower(substr(hex(encode({body})), 1, 16)) AS first_bytes FROM documents"
     out["evidence_mode_suspicious"] = "SELECT CAST(doc_id AS VARCHAR) AS evidence_id FROM documents WHERE doc_id % 4 <> 0 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
     out["evidence_mode_unresolved"] = "SELECT CAST(doc_id AS VARCHAR) AS evidence_id FROM labels WHERE toxic = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)"
     out["yara_scan"] = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS e, {body} AS t FROM documents), x AS (SELECT e, contains(lower(t), 'licensed under') AS lic, regexp_matches(t, 'token = "[0-9a-f]{{8}}') AS tok, contains(t, 'the ') AS a, regexp_matches(t, '(?s)and.') AS b, regexp_matches(t, '(?:^|[^0-9A-Za-z])zzz(?:[^0-9A-Za-z]|$)') AS c, octet_length(encode(t)) AS z FROM d)
 SELECT e AS evidence_id, 'license_or_token' AS rule_id, concat_ws(',', CASE WHEN lic THEN '$lic' END, CASE WHEN tok THEN '$tok' END) AS matched FROM x WHERE lic OR tok
 UNION ALL SELECT e, 'two_of_three', concat_ws(',', CASE WHEN a THEN '$a' END, CASE WHEN b THEN '$b' END, CASE WHEN c THEN '$c' END) FROM x WHERE CAST(a AS INT) + CAST(b AS INT) + CAST(c AS INT) >= 2 AND z < 2048"""
+    out["findings_union"] = f"SELECT engine, n, n AS n_findings FROM ({' UNION ALL '.join([*counted, hits.format(out['yara_scan'])])}) WHERE n > 0"
     out["yara_size_limit"] = f"SELECT CAST(doc_id AS VARCHAR) AS evidence_id, octet_length(encode({body})) AS size, 'TF-W-LIMIT-YARA-FILE-SIZE' AS code FROM documents WHERE octet_length(encode({body})) > 5000"
     out["snapshot_byte_limit"] = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY 'docs/' || CAST(doc_id AS VARCHAR) || '.txt') AS i, octet_length(encode({body})) AS z FROM documents),
 f(i, n, t) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT d.i, n + CASE WHEN t + z <= 1000000 THEN 1 ELSE 0 END, t + CASE WHEN t + z <= 1000000 THEN z ELSE 0 END FROM f JOIN d ON d.i = f.i + 1)

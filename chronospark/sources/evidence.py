@@ -95,6 +95,14 @@ def with_ids(contents: DataFrame, domain: str = ids.DOMAIN) -> DataFrame:
     return contents.withColumn("evidence_id", ids.evidence_id(F.col("source_locator"), F.col("size"), F.col("sha256"), domain))
 
 
+HEADER = 512
+
+
+def with_header(contents: DataFrame) -> DataFrame:
+    """The first 512 bytes of each content as column ``header``: all that probes by magic bytes read."""
+    return contents.withColumn("header", F.substring("content", 1, HEADER))
+
+
 def starts_at(content: Column, offset: int, magic: str) -> Column:
     return F.hex(F.substring(content, offset + 1, len(magic) // 2)) == magic
 
