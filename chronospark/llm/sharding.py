@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, pick
+from .common import Scratch, bounded_batches, checkpointed, fresh, pick
 
 SHARDS = 40
 ROW_BYTES = 16
@@ -29,7 +29,10 @@ def _splitters(rows: DataFrame, ranges: int, total: int) -> list[tuple[int, int]
     """Quantile keys of a sample in which each row stands with a chance in proportion to its size, but at most 1."""
     chance = F.least(F.lit(1.0), F.col("size") * (ranges * SAMPLES / max(1, total)))
     drawn = F.pmod(F.xxhash64(F.lit("draw"), "h", "k"), F.lit(1 << 52)) / float(1 << 52)
-    keys = sorted((r["h"], r["k"], max(1.0, r["size"] * ranges * SAMPLES / max(1, total))) for r in rows.where(drawn < chance).select("h", "k", "size").limit(ranges * SAMPLES * 8).collect())
+    scale = ranges * SAMPLES / max(1, total)
+    # Rows of one key are drawn together: they come as one, with their weights' sum.
+    sample = rows.where(drawn < chance).groupBy("h", "k").agg(F.sum(F.greatest(F.lit(1.0), F.col("size") * scale)).alias("w"))
+    keys = sorted((r["h"], r["k"], r["w"]) for r in sample.collect())
     if not keys:
         return []
     weight = np.cumsum([k[2] for k in keys])
@@ -57,17 +60,19 @@ def _ranged(rows: DataFrame, splitters: list[tuple[int, int]], name: str) -> Dat
     return rows.mapInArrow(run, f"{schema}, {name} int")
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, ranges: int = RANGES) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null).
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, ranges: int = RANGES, row_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, law ("bytes"), shard, slot, grown_shard (null), and ``row`` with ``row_col``.
 
     A row's size is its text's UTF-8 bytes plus 16; null is no text. Shards are consecutive shares of the key order
     with nearly equal sizes. Rows of equal texts are in one shard, unless they take more than a hundredth of one: those are
     shared out by id. Rows that repeat are neighbours with slots of their own; a null id comes first among
-    equal texts. An empty table gives an empty table; other columns are ignored.
+    equal texts. An empty table gives an empty table; other columns are ignored. A very long text is one row and fills its shard by
+    itself, if need be. ``row_col`` names a column of longs that tells rows apart which share id and text.
     """
     bounded_batches(docs.sparkSession)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), (F.octet_length(data) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"))
+    extra = ["row"] if row_col else []
+    rows = pick(docs, doc_id=id_col, text=text_col, **({"row": row_col} if row_col else {})).select(*extra, F.col("doc_id").cast("long"), (F.octet_length(data) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"))
     rows = checkpointed(rows)
     total = rows.agg(F.sum("size").alias("s")).first()["s"] or 0
     n = n_shards * ranges
@@ -80,27 +85,37 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sh
     more = _splitters(crowded, n, total) if over.limit(1).count() else []
     ranged = checkpointed(_ranged(rows, sorted({*first, *more}), "r"))
 
-    order = Window.partitionBy("r").orderBy("h", "k", "text_crc32")
-    inside = ranged.select("doc_id", "size", "text_crc32", "h", "r", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("b"), (F.row_number().over(order) - 1).alias("c"))
+    order = Window.partitionBy("r").orderBy("h", "k", "text_crc32", *extra)
+    inside = ranged.select(*extra, "doc_id", "size", "text_crc32", "h", "r", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("b"), (F.row_number().over(order) - 1).alias("c"))
     per = ranged.groupBy("r").agg(F.sum("size").alias("s"), F.count("*").alias("c"))  # at most some 2n rows
     line = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     begun = per.select("r", F.coalesce(F.sum("s").over(line), F.lit(0)).alias("b0"), F.coalesce(F.sum("c").over(line), F.lit(0)).alias("c0"))
-    placed = inside.join(F.broadcast(begun), "r").select("doc_id", "size", "text_crc32", "h", (F.coalesce("b", F.lit(0)) + F.col("b0")).alias("b"), (F.col("c") + F.col("c0")).alias("c"))
+    placed = inside.join(F.broadcast(begun), "r").select(*extra, "doc_id", "size", "text_crc32", "h", (F.coalesce("b", F.lit(0)) + F.col("b0")).alias("b"), (F.col("c") + F.col("c0")).alias("c"))
     # A group goes where its middle lies. Its rows are joined to it; groups of one row need no join. The checkpoint lets
     # the join deal out a hash with many rows by itself.
     groups = placed.groupBy("h").agg(F.count("*").alias("n"), F.min("b").alias("gb"), F.sum("size").alias("gs")).where(F.col("n") > 1).where(F.col("gs") <= WHOLE * total / n_shards).select("h", (F.col("gb") + F.col("gs") / 2).alias("middle"))
     groups = checkpointed(groups)
     own = F.col("b") + F.col("size") / 2
-    middle = placed.join(groups, "h", "left").select("doc_id", "size", "text_crc32", "c", F.coalesce("middle", own).alias("m"))
+    middle = placed.join(groups, "h", "left").select(*extra, "doc_id", "size", "text_crc32", "c", F.coalesce("middle", own).alias("m"))
     shard = F.least(F.lit(n_shards - 1), F.floor(F.col("m") * n_shards / F.lit(max(1, total)))).cast("int")
-    dealt = middle.select("doc_id", "size", "text_crc32", "c", shard.alias("shard"))
+    dealt = middle.select(*extra, "doc_id", "size", "text_crc32", "c", shard.alias("shard"))
     starts = dealt.groupBy("shard").agg(F.min("c").alias("c0"))  # one row a shard
-    return dealt.join(F.broadcast(starts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("c") - F.col("c0")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.join(F.broadcast(starts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("c") - F.col("c0")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *extra)
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """Write all columns of ``docs`` under ``path``/shard=N. Ids must be distinct; the table of places is returned."""
-    placed = checkpointed(shards(docs, id_col, text_col, **params))
-    where = placed.select(F.col("doc_id").alias("__id"), "shard", "slot")
-    docs.join(where, docs[id_col].eqNullSafe(where["__id"])).drop("__id").write.partitionBy("shard").mode("errorifexists").parquet(path)
-    return placed
+    """Write all columns of ``docs`` under ``path``/shard=N, and return the table of places.
+
+    Each row is written once, whether ids are distinct or not: rows are numbered in a table in the shared folder first, which is removed
+    at the end. Columns of any name pass through, but for an input column of the name shard, which the folder's replaces.
+    """
+    scratch = Scratch(docs.sparkSession)
+    number, own = fresh(docs, "row_number", "row_place")
+    kept = [c for c in docs.columns if c.lower() != "shard"]
+    rows = scratch.table(docs.withColumn(number, F.monotonically_increasing_id()))
+    placed = checkpointed(shards(rows, id_col, text_col, row_col=number, **params))
+    where = placed.select(F.col("row").alias(own), F.col("shard").alias("__shard_of_row"))
+    whole = rows.join(where, rows[number] == where[own])
+    whole.select(*[rows[c] for c in kept], F.col("__shard_of_row").alias("shard")).write.partitionBy("shard").mode("errorifexists").parquet(path)
+    scratch.drop(1)
+    return placed.drop("row")

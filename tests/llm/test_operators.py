@@ -279,6 +279,17 @@ def test_shards(spark, texts):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * largest + 0.02 * sum(sizes.values()) / 8
     assert sharding.shards(frame(spark, [])).count() == 0
     assert sharding.shards(frame(spark, ["a", "a", None], [1, 1, None])).count() == 3
+    equal = frame(spark, ["same words"] * 600 + ["x"], [None] * 600 + [1])
+    spread = Counter(r["shard"] for r in sharding.shards(equal, n_shards=4, ranges=4).collect())
+    assert sum(spread.values()) == 601 and max(spread.values()) < 170
+
+
+def test_written_shards(spark, texts, tmp_path):
+    docs = frame(spark, [*texts, "a", "a", "b"], [*range(1, len(texts) + 1), 1, 1, None]).withColumnsRenamed({"h": "slot", "n": "shard", "size": "row", "th": "row_number"})
+    placed = sharding.write_shards(docs, str(tmp_path / "out"), n_shards=3, ranges=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    rows = lambda d: Counter((r["doc_id"], r["text"], r["slot"], r["row"], r["row_number"]) for r in d.collect())
+    assert rows(back) == rows(docs) and Counter(r["shard"] for r in back.collect()) == Counter(r["shard"] for r in placed.collect())
 
 
 # toxicity
