@@ -83,7 +83,7 @@ SINGLE: dict[str, tuple[str, str]] = {
 
 PREDICATES: dict[str, tuple[Predicate, str]] = {
     "pred_eq": (Predicate("attributes.k", "eq", 4), "k = 4"),
-    "pred_eq_type_strict": (Predicate("user", "neq", 4), "true"),
+    "pred_eq_type_strict": (Predicate("user", "in", [4, "5"]), "usr = '5'"),
     "pred_neq_absent": (Predicate("attributes.score", "neq", 50), "score IS NULL OR score <> 50"),
     "pred_in": (Predicate("event_type", "in", ["VIEW", "signup"]), "et IN ('view', 'signup')"),
     "pred_regex": (Predicate("process.command_line", "regex", r"^run\.exe --[a-e]\w+ 1?[0-5]$"), r"regexp_matches(cmd, '^run\.exe --[a-e]\w+ 1?[0-5]$')"),
@@ -91,7 +91,7 @@ PREDICATES: dict[str, tuple[Predicate, str]] = {
     "pred_starts_with": (Predicate("user", "starts_with", 12), "starts_with(usr, '12')"),
     "pred_ends_with": (Predicate("path.original", "ends_with", "CLICK.EXE"), "ends_with(lower(path), 'click.exe')"),
     "pred_contains": (Predicate("message", "contains", "<view>", case_sensitive=True), "contains(message, '<view>')"),
-    "pred_absent_field": (Predicate("process.process_guid", "neq", "x"), "true"),
+    "pred_absent_field": (Predicate("hostname", "neq", "HOST1"), "host IS NULL OR host <> 'HOST1'"),
 }
 
 SEQ2 = """id: TF-CORR-001
@@ -290,8 +290,11 @@ def queries() -> dict[str, Q]:
     out["finding_merge"] = lambda s, d: findings.build(single_matches(s, d, "sigma_exact", "sigma_one_of_wildcard", "sigma_all_of_them"), merge).select("title", "severity", F.size("event_ids").cast("long").alias("n_events"), F.size("match_ids").cast("long").alias("n_matches"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
     def lost(s: SparkSession, d: str) -> DataFrame:
-        m = single_matches(s, d, "sigma_exact", "sigma_one_of_wildcard")
-        return findings.lost(m, findings.build(m, merge)).agg(F.count("*").alias("n_lost"))
+        m = single_matches(s, d, "sigma_exact", "sigma_all_of_them")
+        made = findings.build(m, merge)
+        none = findings.lost(m, made).select(F.lit(0).alias("of"))
+        some = findings.lost(m, made.where("title = 'Two users'")).select(F.lit(1).alias("of"))
+        return none.union(some).agg(F.count_if(F.col("of") == 0).alias("n_lost"), F.count_if(F.col("of") == 1).alias("n_without_singles"))
 
     out["finding_lossless"] = lost
 
@@ -319,7 +322,14 @@ def queries() -> dict[str, Q]:
         files = evidence.with_ids(_documents_as_evidence(s, d)).select("evidence_id", "source_locator", "size", "sha256", F.lit("verified_snapshot").alias("status"))
         issues = files.where("size < 100").select(F.lit("SHORT").alias("issue_code"), F.col("source_locator").alias("issue_message"), "evidence_id", F.lit(None).cast("string").alias("artifact_id"))
         return files, event_rows(s, d).drop("sec", "nano"), issues
-    out["csv_guard"] = lambda s, d: event_rows(s, d).select("event_id", text.csv_cell(F.col("message")).alias("cell"), text.needs_formula_guard(F.col("message")).alias("guarded"))
+
+    def guarded(s: SparkSession, d: str) -> DataFrame:
+        """Messages that need the guard, that do not, that need it behind blanks, and none."""
+        kind, rest = F.col("user").cast("long") % 4, F.substring("message", 2, 1 << 20)
+        shown = F.when(kind == 0, F.col("message")).when(kind == 1, rest).when(kind == 2, F.concat(F.lit("  -"), rest))
+        return event_rows(s, d).select("event_id", text.csv_cell(shown).alias("cell"), text.needs_formula_guard(shown).alias("guarded"))
+
+    out["csv_guard"] = guarded
     out["csv_rows"] = lambda s, d: export.csv_lines(event_rows(s, d)).select("event_id", "line", F.col("guarded").cast("long").alias("guarded"))
     out["html_escape"] = lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.html_text(F.col("html"))).alias("escaped_md5"), F.md5(text.html_attribute(F.col("html"))).alias("attribute_md5"))
     out["control_escape"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(text.escape_controls(F.concat(F.coalesce("text", F.lit("")), F.lit("\x1b[0m\x07\x7f")))).alias("escaped_md5"))
@@ -333,7 +343,7 @@ def queries() -> dict[str, Q]:
         return table(s, d, "pages").select("page_id", key.alias("path_key"), F.array_join(notes, ",").alias("notes"))
 
     out["path_normalize"] = paths
-    out["source_locator"] = lambda s, d: table(s, d, "pages").select("page_id", text.source_locator(F.regexp_replace("url", "^https?:", "x")).alias("locator"), text.source_locator(F.concat(F.lit("/"), "url")).alias("absolute"))
+    out["source_locator"] = lambda s, d: table(s, d, "pages").select("page_id", text.source_locator(F.regexp_replace("url", "^https?:", "x")).alias("locator"), text.source_locator(F.concat(F.when(F.col("page_id") % 2 == 0, "/").otherwise("y//"), F.col("page_id").cast("string"))).alias("absolute"))
     out["evidence_dedupe_sha"] = lambda s, d: evidence.distinct_by_hash(_documents_as_evidence(s, d))
     out["probe_resolve"] = lambda s, d: evidence.resolve_probes(probes(s, d)).select("evidence_id", "decision", F.array_join("parsers", ",").alias("parsers"), "issue")
     def containers(s: SparkSession, d: str) -> DataFrame:
@@ -413,7 +423,7 @@ def oracle_sql() -> dict[str, str]:
     out["finding_merge"] = f"""WITH {EV}, m AS (SELECT id, evd, 1 AS r FROM ev WHERE {SINGLE['sigma_exact'][1]} UNION ALL SELECT id, evd, 2 FROM ev WHERE {SINGLE['sigma_one_of_wildcard'][1]})
 SELECT 'Two users' AS title, 'critical' AS severity, count(DISTINCT id) AS n_events, count(*) AS n_matches, array_to_string(list_sort(list(DISTINCT evd)), ',') AS evidence_ids FROM m HAVING count(*) > 0
 UNION ALL SELECT 'Sigma match: {r.rule_id}', 'medium', 1, 1, evd FROM ev WHERE {SINGLE['sigma_all_of_them'][1]}"""
-    out["finding_lossless"] = "SELECT CAST(0 AS BIGINT) AS n_lost"
+    out["finding_lossless"] = f"WITH {EV} SELECT CAST(0 AS BIGINT) AS n_lost, count(*) AS n_without_singles FROM ev WHERE {SINGLE['sigma_all_of_them'][1]}"
     out["attack_lookup"] = f"WITH {EV}, t AS (SELECT CASE right(usr, 1) WHEN '1' THEN 'T1059.001' WHEN '2' THEN 'T1003' ELSE 'T9999' END AS technique_id FROM ev) SELECT technique_id, CASE technique_id WHEN 'T1059.001' THEN 'execution' WHEN 'T1003' THEN 'credential-access' END AS tactic, technique_id <> 'T9999' AS known, count(*) AS n FROM t GROUP BY technique_id"
     cell = lambda c: f"""CASE WHEN regexp_matches(g_{c}, '[,"\r\n]') THEN '"' || replace(g_{c}, '"', '""') || '"' ELSE g_{c} END"""
     parts = {"Sigma": ("sigma_exact", "sigma_all_of_them"), "Correlation": ("corr_seq2_user",)}
@@ -421,7 +431,8 @@ UNION ALL SELECT 'Sigma match: {r.rule_id}', 'medium', 1, 1, evd FROM ev WHERE {
     hits = "SELECT 'YARA-X', (SELECT count(*) FROM ({}))"
     out["case_lines"] = f"""WITH {EV} SELECT 0 AS section, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS k, 'case' AS record_type UNION ALL SELECT 1, count(*), 0, 'evidence' FROM documents
 UNION ALL SELECT 3, count(*), CAST(sum(k) AS BIGINT), 'event' FROM ev UNION ALL SELECT 4, count(*), 0, 'issue' FROM documents WHERE octet_length(encode({body})) < 100 HAVING count(*) > 0 UNION ALL SELECT 7, 1, 0, 'manifest'"""
-    out["csv_guard"] = f"""WITH {EV}, g AS (SELECT id, '''' || message AS g_message FROM ev) SELECT id AS event_id, {cell('message')} AS cell, true AS guarded FROM g"""
+    out["csv_guard"] = f"""WITH {EV}, v AS (SELECT id, u % 4 IN (0, 2) AS guarded, CASE u % 4 WHEN 0 THEN message WHEN 1 THEN substr(message, 2) WHEN 2 THEN '  -' || substr(message, 2) END AS t FROM ev),
+g AS (SELECT id, guarded, CASE WHEN guarded THEN '''' || t ELSE coalesce(t, '') END AS g_message FROM v) SELECT id AS event_id, {cell('message')} AS cell, guarded FROM g"""
     when = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
     out["csv_rows"] = f"""WITH {EV}, g AS (SELECT *, '''' || message AS g_message FROM ev) SELECT id AS event_id, id || ',' || {when} || ',event_logged,evtx,' || et || ',observed,' || coalesce(host, '') || ',' || usr || ',' || path || ',,' || {cell('message')} AS line, CAST(1 AS BIGINT) AS guarded FROM g"""
     esc = "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -440,7 +451,7 @@ UNION ALL SELECT 3, count(*), CAST(sum(k) AS BIGINT), 'event' FROM ev UNION ALL
     parts = "list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda p: p <> '')"
     joined = f"'C:\\A\\' || array_to_string(list_append(({parts})[1:-2], 'X'), '\\')"
     out["path_normalize"] = f"SELECT page_id, lower({joined}) AS path_key, 'forward_slash_converted,dot_component_removed,parent_component_resolved,comparison_key_case_folded' AS notes FROM pages"
-    out["source_locator"] = "SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^https?:', 'x'), '/+', '/', 'g'), '/') AS locator, CAST(NULL AS VARCHAR) AS absolute FROM pages"
+    out["source_locator"] = "SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^https?:', 'x'), '/+', '/', 'g'), '/') AS locator, CASE WHEN page_id % 2 <> 0 THEN 'y/' || CAST(page_id AS VARCHAR) END AS absolute FROM pages"
     out["evidence_dedupe_sha"] = f"SELECT sha256({body}) AS sha256, min('docs/' || CAST(doc_id AS VARCHAR) || '.txt') AS source_locator, count(*) AS copies FROM documents GROUP BY 1"
     out["probe_resolve"] = """WITH p AS (SELECT doc_id AS n, doc_id % 2 = 0 AS a, doc_id % 3 = 0 AS r, doc_id % 5 = 0 AND doc_id % 11 <> 0 AS l, doc_id % 11 = 0 AS bad, doc_id % 7 = 0 AS q FROM documents),
 s AS (SELECT *, CAST(a AS INT) + CAST(r AS INT) + CAST(l AS INT) AS c FROM p)
