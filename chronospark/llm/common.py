@@ -60,6 +60,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder that this project has written, wherever Spark's file systems reach."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Tables between the steps of one call, compressed and by column in the shared folder. ``drop`` removes those that are done with."""
 
@@ -77,10 +83,8 @@ class Scratch:
 
     def drop(self, *numbers: int) -> None:
         """Remove the tables of these numbers, counted from 1 in the order in which they were written."""
-        jvm = self.spark.sparkContext._jvm
         for n in numbers:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, f"{self.folder}/{n}")
 
 
 def lower_ascii(col):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronospark.llm import decontamination, line_dedup, packing, similar, toxicity
-from chronospark.llm.common import shared_folder, table
+from chronospark.llm.common import remove, shared_folder, table
 from chronospark.llm.queries import tokenizer_path
 
 
@@ -72,10 +72,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage returns is written to the folder that the executors share."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. What a stage returns is written to the folder that the executors share, and removed when the
+    next one is written; the last one's stays, as the result reads it."""
+    folder, docs, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
