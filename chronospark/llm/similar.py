@@ -27,7 +27,7 @@ RADIUS = 22
 BANDS, ROWS = 30, 5
 #: Places and groups beyond this weight (rows, or shingles) are split into tiles of two parts of half that weight.
 TILE_ROWS = 4096
-TILE_SHINGLES = 4_000_000
+TILE_SHINGLES = 400_000
 _RANDOM = np.random.default_rng(5)
 _A = _RANDOM.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -147,7 +147,9 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(many, few), max(0, len(many) - 1))
+    shared = int((many[at] == few).sum()) if len(few) else 0
     return shared * 10 >= (len(a) + len(b) - shared) * round(10 * SIMILARITY)
 
 
