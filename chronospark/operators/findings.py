@@ -50,7 +50,7 @@ def single(matches: DataFrame) -> DataFrame:
     observed = F.filter(F.concat(F.array(F.concat(F.lit("rule_id="), rule), F.concat(F.lit("rule_sha256="), "rule_sha256"), F.concat(F.lit("match_type="), "match_type"), listed("event_ids"), listed("evidence_ids")), F.transform("reasons", lambda r: F.concat(F.lit("reason: "), r))), lambda x: x.isNotNull())
     inference = F.concat(F.lit("What "), rule, F.lit(" describes may have happened; severity "), severity, F.lit("."))
     return m.select(
-        ids.finding_id(F.col("match_type"), F.array("rule_sha256"), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"),
+        ids.finding_id(F.col("match_type"), F.array(ids.rule_content(F.col("match_type"), rule, F.col("rule_sha256"))), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"),
         F.concat(engine, F.lit(" match: "), rule).alias("title"), F.concat(rule, F.lit(" ("), engine, F.lit(")"), where, reasons).alias("description"),
         severity.alias("severity"), confidence.alias("confidence"), confidence_level(confidence).alias("confidence_level"), F.array_sort("event_ids").alias("event_ids"), F.array_sort("evidence_ids").alias("evidence_ids"), F.array("match_id").alias("match_ids"), F.array("rule_id").alias("rule_refs"), observed.alias("observed_evidence"), F.array(inference).alias("inference"),
     )
@@ -81,12 +81,12 @@ def build(matches: DataFrame, rules: list[MergeRule]) -> DataFrame:
     alone = single(tagged.where("group_id IS NULL").select(*matches.columns))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     merged = tagged.where("group_id IS NOT NULL").groupBy("group_id", "g_title", "g_severity").agg(
-        union("event_ids").alias("event_ids"), union("evidence_ids").alias("evidence_ids"), F.array_sort(F.collect_set("match_id")).alias("match_ids"), F.array_sort(F.collect_set("rule_id")).alias("rule_refs"), F.array_sort(F.collect_set("rule_sha256")).alias("shas"), F.array_sort(F.collect_set("match_type")).alias("types"), F.count("*").alias("n"),
+        union("event_ids").alias("event_ids"), union("evidence_ids").alias("evidence_ids"), F.array_sort(F.collect_set("match_id")).alias("match_ids"), F.array_sort(F.collect_set("rule_id")).alias("rule_refs"), F.array_sort(F.collect_set("rule_sha256")).alias("shas"), F.collect_set(ids.rule_content(F.col("match_type"), F.col("rule_id"), F.col("rule_sha256"))).alias("contents"), F.array_sort(F.collect_set("match_type")).alias("types"), F.count("*").alias("n"),
         F.array_sort(F.flatten(F.collect_set(F.transform("reasons", lambda r: F.concat(F.lit("reason ("), F.col("rule_id"), F.lit("): "), r))))).alias("why"),
     )
     listed = lambda label, c: F.concat(F.lit(f"{label}=["), F.array_join(c, ","), F.lit("]"))
     made = merged.select(
-        ids.finding_id(F.lit("merged"), F.col("shas"), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"), F.col("g_title").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" matches taken as one")).alias("description"), F.col("g_severity").alias("severity"),
+        ids.finding_id(F.lit("merged"), F.col("contents"), F.col("event_ids"), F.col("evidence_ids")).alias("finding_id"), F.col("g_title").alias("title"), F.concat(F.col("n").cast("string"), F.lit(" matches taken as one")).alias("description"), F.col("g_severity").alias("severity"),
         F.lit(DEFAULT_CONFIDENCE).alias("confidence"), confidence_level(F.lit(DEFAULT_CONFIDENCE)).alias("confidence_level"), "event_ids", "evidence_ids", "match_ids", "rule_refs",
         F.concat(F.array(listed("rule_ids", "rule_refs"), listed("rule_sha256_list", "shas"), listed("match_ids", "match_ids"), listed("match_types", "types")), F.col("why")).alias("observed_evidence"),
         F.array(F.concat(F.col("n").cast("string"), F.lit(" matches belong together; severity "), F.col("g_severity"), F.lit("."))).alias("inference"),
