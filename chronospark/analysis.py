@@ -55,7 +55,7 @@ def checked_ids(events: DataFrame) -> DataFrame:
     return events
 
 
-def byte_matches(contents: DataFrame, rules: list, max_bytes: int) -> DataFrame:
+def byte_matches(contents: DataFrame, rules: list, max_bytes: int | None) -> DataFrame:
     """Byte-pattern hits as matches. Their ids name the rule alone, so a match is told by its id and its evidence."""
     hits = scan.scan(contents, rules, max_bytes)
     nothing = F.array().cast("array<string>")

@@ -311,7 +311,7 @@ def queries() -> dict[str, Q]:
         rule = correlation.compile_rule(SEQUENCES["corr_seq2_user"])
         rule.max_matches = None
         frames = [single_matches(s, d, "sigma_exact", "sigma_all_of_them"), single_matches(s, d, "sigma_exact"), correlation.match(event_rows(s, d), rule)]
-        scanned = analysis.byte_matches(_documents_as_evidence(s, d).select(F.col("doc_id").cast("string").alias("evidence_id"), "content"), scan.compile_file(SCAN_RULES), 1 << 20)
+        scanned = analysis.byte_matches(evidence.with_ids(_documents_as_evidence(s, d)).select("evidence_id", "content"), scan.compile_file(SCAN_RULES), None)
         found = findings.single(analysis.unite([*frames, scanned]))
         return found.groupBy(F.substring_index("title", " ", 1).alias("engine")).agg(F.count("*").alias("n"), F.countDistinct("finding_id").alias("n_findings"))
 
